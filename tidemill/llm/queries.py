@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemill.llm import quality_rules
+from tidemill.llm import mixing, packing, quality_rules
 
 QUERIES = {
+    "op4_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
+    "op9_packing": packing.query,
 }
 
 SQL = {
