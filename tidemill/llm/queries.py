@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from tidemill.llm import mixing, packing, quality_rules
+from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, quality_model, quality_rules
 
 QUERIES = {
+    "op1_line_dedup": line_dedup.query,
+    "op2_language_id": language_id.query,
     "op4_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_quality_classifier": quality_model.query,
+    "op8_minhash": minhash.query,
     "op9_packing": packing.query,
 }
 
 SQL = {
+    "op1_line_dedup": line_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op8_minhash": minhash.SQL,
 }
