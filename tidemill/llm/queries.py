@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, quality_model, quality_rules
+from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, quality_model, quality_rules, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
     "op6_quality_classifier": quality_model.query,
+    "op7_topk": topk.query,
     "op8_minhash": minhash.query,
     "op9_packing": packing.query,
 }
@@ -17,5 +18,6 @@ QUERIES = {
 SQL = {
     "op1_line_dedup": line_dedup.SQL,
     "op5_quality_rules": quality_rules.SQL,
+    "op7_topk": topk.SQL,
     "op8_minhash": minhash.SQL,
 }
