@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, quality_model, quality_rules, topk
+from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_topk": topk.query,
     "op8_minhash": minhash.query,
     "op9_packing": packing.query,
+    "op10_personal_data": personal_data.query,
 }
 
 SQL = {
