@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, topk
+from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, suffix_dedup, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_language_id": language_id.query,
+    "op3_suffix_dedup": suffix_dedup.query,
     "op4_mixing": mixing.query,
     "op5_quality_rules": quality_rules.query,
     "op6_quality_classifier": quality_model.query,
