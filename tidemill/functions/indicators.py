@@ -11,14 +11,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.functions.windows import SERIES, c, change, deviation, div, full, highest, lowest, mean, prev, quantile, so_far, total, trailing
+from tidemill.functions.windows import series, c, change, deviation, div, full, highest, lowest, mean, prev, quantile, so_far, total, trailing
 
 sma = mean
 
 
 def weighted_mean(x, n: int) -> Column:
     """Linear weights, the newest row n, the oldest 1."""
-    terms = [(n - k) * F.lag(c(x), k).over(SERIES) for k in range(n)]
+    terms = [(n - k) * F.lag(c(x), k).over(series()) for k in range(n)]
     return sum(terms[1:], terms[0]) / (n * (n + 1) / 2)
 
 
@@ -84,7 +84,7 @@ def ichimoku(df: DataFrame, short: int = 9, middle: int = 26, long: int = 52, sh
     df = df.withColumns({"tenkan": mid(short), "kijun": mid(middle), "_b": mid(long)})
     return df.withColumns({
         "senkou_a": prev((F.col("tenkan") + F.col("kijun")) / 2, shift), "senkou_b": prev("_b", shift),
-        "chikou": F.lead("close", shift).over(SERIES),  # looks ahead, by definition
+        "chikou": F.lead("close", shift).over(series()),  # looks ahead, by definition
     }).drop("_b")
 
 

@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = Window.partitionBy("symbol").orderBy("ts")
+def series() -> WindowSpec:
+    """The rows of a symbol in order of time."""
+    return Window.partitionBy("symbol").orderBy("ts")
 
 
 def c(x: Column | str) -> Column:
@@ -21,11 +23,11 @@ def c(x: Column | str) -> Column:
 
 def trailing(n: int, skip: int = 0) -> WindowSpec:
     """The n rows that end `skip` rows before this one."""
-    return SERIES.rowsBetween(-(n - 1) - skip, -skip)
+    return series().rowsBetween(-(n - 1) - skip, -skip)
 
 
 def so_far() -> WindowSpec:
-    return SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    return series().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def full(value: Column, x: Column | str, n: int, skip: int = 0) -> Column:
@@ -60,7 +62,7 @@ def quantile(x, n: int, q: float) -> Column:
 
 
 def prev(x, k: int = 1) -> Column:
-    return F.lag(c(x), k).over(SERIES)
+    return F.lag(c(x), k).over(series())
 
 
 def div(a, b, fill: float | None = None) -> Column:
