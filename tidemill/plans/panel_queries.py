@@ -141,3 +141,43 @@ def turnover(spark, sf_dir):
     df = df.withColumn("w", F.try_divide("w", F.nullif(F.sum(F.abs("w")).over(A.instant()), F.lit(0.0))))
     df = df.withColumn("_d", F.abs(F.col("w") - F.coalesce(W.prev("w"), F.lit(0.0))))
     return W.rounded(df.groupBy("ts").agg(F.sum("_d").alias("turnover"), F.sum(F.abs("w")).alias("gross")), 6)
+
+
+@query("alphas_decayed")
+def alphas_decayed(spark, sf_dir):
+    """Formulas with decay, nested ranks in time and powers; the operators are tested one by one."""
+    return alpha_query(spark, sf_dir, [57, 66, 77, 84, 86, 92, 94])
+
+
+@query("factor_residual", f"""WITH {PANEL}, m AS (SELECT ts, avg(close) AS my, avg(volume) AS mx, covar_pop(close, volume) AS c, var_pop(volume) AS v FROM panel GROUP BY ts)
+SELECT symbol, ts, {r('close - my - CASE WHEN v > 1e-14 THEN c / v ELSE 0 END * (volume - mx)', 'residual', 5)} FROM panel JOIN m USING (ts)""")
+def factor_residual(spark, sf_dir):
+    return W.rounded(panel(spark, sf_dir).select("symbol", "ts", A.residual("close", "volume").alias("residual")), 5)
+
+
+def _ic_sql(h: int) -> str:
+    target = f"lead(close, {1 + h}) OVER ({S}) / nullif(lead(close, 1) OVER ({S}), 0) - 1"
+    return f"""f{h} AS (SELECT symbol, ts, -ret AS factor, {target} AS target FROM panel), k{h} AS (SELECT ts, {rank('factor')} AS a, {rank('target')} AS b FROM f{h} WHERE factor IS NOT NULL AND target IS NOT NULL),
+i{h} AS (SELECT CASE WHEN stddev_pop(a) * stddev_pop(b) > 1e-12 THEN covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) END AS ic FROM k{h} GROUP BY ts HAVING count(*) >= 5)"""
+
+
+@query("ic_decay", f"WITH {PANEL}, {', '.join(_ic_sql(h) for h in (1, 2, 4))} " + " UNION ALL ".join(f"SELECT {h} AS horizon, count(ic) AS n, {r('avg(ic)', 'mean_ic')} FROM i{h}" for h in (1, 2, 4)))
+def ic_decay(spark, sf_dir):
+    return W.rounded(A.ic_decay(panel(spark, sf_dir).withColumn("factor", -W.change("close")), "factor", (1, 2, 4)), 6)
+
+
+LONG_SHORT = f"""{IC}, p AS (SELECT ts, target, {rank('factor')} AS pr FROM f WHERE factor IS NOT NULL AND target IS NOT NULL),
+ls AS (SELECT ts, avg(CASE WHEN pr > 1 - 0.2 THEN target END) - avg(CASE WHEN pr <= 0.2 THEN target END) AS ret FROM p GROUP BY ts)"""
+
+
+@query("long_short", f"WITH {LONG_SHORT} SELECT ts, {r('ret', 'ret', 5)} FROM ls WHERE ret IS NOT NULL")
+def long_short(spark, sf_dir):
+    df = A.forward_return(panel(spark, sf_dir)).withColumn("factor", -W.change("close"))
+    return W.rounded(A.long_short(df, "factor"), 5)
+
+
+@query("long_short_yearly", f"""WITH {LONG_SHORT} SELECT CAST(year(ts) AS INTEGER) AS year, count(ret) AS n, {r('avg(ret)', 'mean', 5)}, {r('stddev_samp(ret)', 'sd', 5)}, {r('avg(CAST(ret > 0 AS INTEGER))', 'hit', 5)}
+FROM ls WHERE ret IS NOT NULL GROUP BY 1""")
+def long_short_yearly(spark, sf_dir):
+    df = A.forward_return(panel(spark, sf_dir)).withColumn("factor", -W.change("close"))
+    return W.rounded(A.yearly(A.long_short(df, "factor")), 5)
