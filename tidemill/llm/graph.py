@@ -21,18 +21,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_star(edges: DataFrame) -> bool:
+    """True if every upper node has one edge, to a node that is upper to none: nothing more can change."""
+    roles = edges.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)).distinct())
+    return roles.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; root is the least node of the component.
 
     `edges` has columns u and v of one orderable type, u different from v. Each round is cut off in
     the shared folder; rounds are logarithmic in the longest path.
     """
-    now, seen = cut(_small_star(edges)), None
-    while True:
-        mark = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == seen or mark[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        seen = mark
+    now = cut(_small_star(edges))
+    while not _is_star(now):
         now = cut(_small_star(_large_star(now)))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

@@ -3,11 +3,11 @@
 1. One pass over the texts gives for each document the fingerprint of its shingle set, band keys
    from its minima, and the low `BITS` bits of all minima, packed into four longs.
 2. Documents with equal sets become one class by an aggregation, however many copies there are.
-3. Classes that share a band key are candidates. Within a bucket, pairs are never all listed: a hub
-   is tested against the members, what is linked falls into one component, and only members of
-   other components go on to later rounds as hubs, until no untested pair between two components
-   is left in any bucket. So a bucket of many near copies costs about as much as it has members,
-   and no link that joins two components is lost.
+3. Classes that share a band key are candidates. Within a bucket, pairs are never all listed: first
+   one hub is tested against the members, and what is linked falls into components. Buckets that
+   still hold members of unlike components are then compared in tiles of two blocks each, inside
+   tasks: only links come out. So no link that joins two components is lost, and no task holds more
+   than two blocks.
 4. A candidate pair must pass the size bound and the similarity estimated from bit counts
    (corrected for chance collisions, with six standard deviations of slack); then the whole sets
    decide.
@@ -37,6 +37,8 @@ from tidemill.llm.textvec import mix, shingle_sets
 
 BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
+#: Members of a block of a bucket, and shingles of all of them, that a tile compares with another block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 #: Chance that the low bits of two unequal minima agree.
 CHANCE = 2.0**-BITS
 
@@ -145,6 +147,92 @@ def linked(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
     )
 
 
+def links_of_tile(tile: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (u, v) between members of one bucket that are in unlike components.
+
+    A tile compares two blocks of a bucket (or one with itself). Bit counts come first, as a matrix;
+    then a pair is taken up in the first band that both share only, so that no other bucket repeats
+    it, and unless both are linked by now, the whole sets decide.
+    """
+    found: list[tuple[bytes, bytes]] = []
+    bits, bands = (np.stack(tile[c].to_numpy()).astype(np.int64).view(np.uint64) for c in ("bits", "bands"))
+    n, block = tile["n"].to_numpy(), tile["block"].to_numpy()
+    roots, fps, members = tile["root"].tolist(), tile["fp"].tolist(), [np.asarray(m, np.int64).view(np.uint64) for m in tile["members"]]
+    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    root = np.array([number[r] for r in roots])
+    parent = list(range(len(number)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    band = int(np.flatnonzero(bands[0].view(np.int64) == tile["key"].iloc[0])[0])
+    first, second = tile["first"].iloc[0], tile["second"].iloc[0]
+    left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    threshold = percent / 100 - slack(percent / 100)
+    ones = np.uint64(0x5555555555555555)
+    for at in range(0, len(left), 256):
+        x = left[at : at + 256]
+        differ = bits[x][:, None, :] ^ bits[right][None, :, :]
+        unequal = np.bitwise_count((differ | (differ >> np.uint64(1))) & ones).sum(axis=2, dtype=np.int64)
+        likely = (1 - unequal / HASHES - CHANCE) / (1 - CHANCE) >= threshold
+        likely &= (root[x][:, None] != root[right][None, :]) & (100 * np.minimum(n[x][:, None], n[right][None, :]) >= percent * np.maximum(n[x][:, None], n[right][None, :]))
+        if first == second:
+            likely &= x[:, None] < right[None, :]
+        i, j = np.nonzero(likely)
+        order = np.argsort(unequal[i, j], kind="stable")
+        i, j = x[i[order]], right[j[order]]
+        own = (bands[i] == bands[j]).argmax(axis=1) == band
+        for p, q in zip(i[own].tolist(), j[own].tolist(), strict=True):
+            a, b = top(root[p]), top(root[q])
+            if a != b:
+                small_set, large_set = sorted((members[p], members[q]), key=len)
+                place = np.minimum(np.searchsorted(large_set, small_set), len(large_set) - 1)
+                shared = int((large_set[place] == small_set).sum())
+                if 100 * shared >= percent * (len(small_set) + len(large_set) - shared):
+                    parent[a] = b
+                    found.append((fps[p], fps[q]))
+    return pd.DataFrame(found, columns=["u", "v"])
+
+
+def tiles(open_buckets: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of buckets with all that a comparison needs, once for each tile that they are in.
+
+    A bucket has as many blocks as keep a block within BLOCK members and BLOCK_SHINGLES shingles on
+    average; its tiles are the pairs of blocks.
+    """
+    sized = open_buckets.join(classes.select("fp", "n"), "fp")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    placed = (
+        sized.join(sized.groupBy("key").agg(blocks.alias("blocks")), "key")
+        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "fp", "root")
+    )
+    return placed.join(classes.select("fp", "n", "bits", "bands"), "fp").join(sets, "fp")
+
+
+def tile_links(tiled: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of all tiles; a task takes its tiles one after the other."""
+    order = ["key", "first", "second"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            rows = pd.concat([*held, batch], ignore_index=True) if held else batch
+            same = (rows[order] == rows[order].shift()).all(axis=1).to_numpy()
+            starts = np.append(np.flatnonzero(~same), len(rows))
+            for a, b in zip(starts[:-2], starts[1:-1], strict=True):
+                yield links_of_tile(rows.iloc[a:b], percent)
+            held = [rows.iloc[starts[-2] :]] if len(rows) else []
+        if held:
+            yield links_of_tile(held[0], percent)
+
+    return tiled.repartition(*order).sortWithinPartitions(*order).mapInPandas(run, "u binary, v binary")
+
+
 def link_classes(keyed: DataFrame, classes: DataFrame, text_col: str, width: int, percent: int) -> DataFrame:
     """(node, root) over the fingerprints of classes (fp, row, n, bands, bits) that are linked with another."""
     members = classes.select(F.explode("bands").alias("key"), "fp")
@@ -154,34 +242,11 @@ def link_classes(keyed: DataFrame, classes: DataFrame, text_col: str, width: int
     sets = cut(whole_sets(keyed, cut(wanted), text_col, width))
     left = buckets.filter("fp != hub")
     links = cut(linked(left.select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct(), classes, sets, percent))
-    left = left.select("key", "fp")
-    hubs_at_once = 8
-    while True:
-        roots = connected_components(links)
-        placed = left.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-        most = (
-            placed.groupBy("key", "root").agg(F.count("*").alias("_n"))
-            .groupBy("key").agg(F.max(F.struct("_n", "root")).getField("root").alias("_top"), F.count("*").alias("_roots"))
-            .filter("_roots > 1").select("key", "_top")
-        )
-        open_buckets = cut(placed.join(most, "key"))
-        if open_buckets.isEmpty():
-            return roots
-        from pyspark.sql import Window
-
-        hubs = cut(
-            open_buckets.filter("root != _top")
-            .withColumn("_k", F.row_number().over(Window.partitionBy("key").orderBy("fp")))
-            .filter(F.col("_k") <= hubs_at_once)
-            .select("key", F.col("fp").alias("hub"), F.col("root").alias("hub_root"))
-        )
-        pairs = (
-            open_buckets.join(hubs, "key").filter("root != hub_root")
-            .select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()
-        )
-        links = cut(links.union(linked(pairs, classes, sets, percent)))
-        left = open_buckets.join(hubs.select("key", F.col("hub").alias("fp")), ["key", "fp"], "left_anti").select("key", "fp")
-        hubs_at_once *= 8
+    roots = cut(connected_components(links))
+    placed = left.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
+    unlike = placed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a != _b").select("key")
+    more = cut(tile_links(tiles(cut(placed.join(unlike, "key", "left_semi")), classes, sets), percent))
+    return roots if more.isEmpty() else connected_components(links.union(more))
 
 
 def components(keyed: DataFrame, text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
