@@ -265,3 +265,31 @@ def semi_anti(spark, sf_dir):
     left = table(spark, sf_dir, "customer").select("c_custkey").join(orders.filter("o_orderstatus = 'P'").select("c_custkey"), "c_custkey", "left_anti")
     big = orders.filter("o_totalprice > 300000").select("c_custkey").distinct().withColumn("big", F.lit(True))
     return left.join(big, "c_custkey", "left").select("c_custkey", F.coalesce("big", F.lit(False)).alias("big"))
+
+
+STRUCTURE = f"""{BARS_SQL}, pv AS (SELECT *, coalesce(high > max(high) OVER b AND high >= max(high) OVER a, false) AS ph, coalesce(low < min(low) OVER b AND low <= min(low) OVER a, false) AS pl FROM bars
+  WINDOW b AS ({SERIES_SQL} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), a AS ({SERIES_SQL} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+lg AS (SELECT *, {lag('CASE WHEN ph THEN high END', 5)} AS h5, {lag('CASE WHEN pl THEN low END', 5)} AS l5 FROM pv),
+lv AS (SELECT *, last_value(h5 IGNORE NULLS) OVER ({SERIES_SQL} ROWS UNBOUNDED PRECEDING) AS lh, last_value(l5 IGNORE NULLS) OVER ({SERIES_SQL} ROWS UNBOUNDED PRECEDING) AS ll FROM lg),
+sd AS (SELECT *, CASE WHEN close > lh THEN 'up' WHEN close < ll THEN 'down' END AS side FROM lv),
+st AS (SELECT *, last_value(side IGNORE NULLS) OVER ({SERIES_SQL} ROWS UNBOUNDED PRECEDING) AS state FROM sd)"""
+
+
+@query("market_zones", f"""WITH {STRUCTURE}, w AS (SELECT *, {lag('side')} AS s1, {lag('state')} AS t1 FROM st)
+SELECT symbol, ts, {r('lh', 'level_high')}, {r('ll', 'level_low')},
+  CASE WHEN coalesce(low < ll AND close > ll, false) THEN 'bull' WHEN coalesce(high > lh AND close < lh, false) THEN 'bear' ELSE 'none' END AS sweep,
+  CASE WHEN lh + ll IS NULL THEN 'none' WHEN close > (lh + ll) / 2 * 1.001 THEN 'premium' WHEN close < (lh + ll) / 2 * (1 - 0.001) THEN 'discount' ELSE 'equilibrium' END AS zone,
+  CASE WHEN side IS NOT NULL AND coalesce(s1 <> side, true) AND coalesce(t1 <> side, false) THEN 'turn' WHEN side IS NOT NULL AND coalesce(s1 <> side, true) AND coalesce(t1 = side, false) THEN 'continue' ELSE 'none' END AS structure FROM w""")
+def market_zones(spark, sf_dir):
+    from tidemill.functions import structure as M
+
+    df = M.trend_breaks(hourly(spark, sf_dir))
+    return W.rounded(df.select("symbol", "ts", "level_high", "level_low", M.sweep_side().alias("sweep"), M.zone().alias("zone"), "structure"), 6)
+
+
+@query("equal_highs", f"""WITH {STRUCTURE}, c AS (SELECT *, list_reverse(list(h5) FILTER (WHERE h5 IS NOT NULL) {over(400)})[1:20] AS seen FROM lg)
+SELECT symbol, ts, CASE WHEN len(seen) > 0 THEN len(list_filter(seen, lambda x: abs(x - seen[1]) <= seen[1] * (2.0 / 100))) ELSE 0 END AS n_equal_highs FROM c""")
+def equal_highs(spark, sf_dir):
+    from tidemill.functions import structure as M
+
+    return M.equal_levels(hourly(spark, sf_dir), 2.0).select("symbol", "ts", F.col("n_equal_highs").cast("long").alias("n_equal_highs"))
