@@ -34,7 +34,7 @@ def test_exponential_mean_with_gaps():
 
 
 def test_recurrences_keep_rows_and_ranges(bars):
-    got = recurrences.recur(bars, {"rsi": {}, "supertrend": {}, "psar": {}, "adx": {}}).toPandas()
+    got = recurrences.recur(bars, {"rsi": {}, "supertrend": {}, "parabolic_sar": {}, "adx": {}}).toPandas()
     assert len(got) == 120
     assert got["rsi"].dropna().between(0, 100).all() and got["adx"].dropna().between(0, 100).all()
     assert set(got["supertrend_dir"].dropna()) <= {1.0, -1.0}
