@@ -3,16 +3,16 @@
 A byte goes if a string of `width` bytes that covers it also starts anywhere else in the corpus.
 
 1. Windows of `width` bytes are dealt out by content: the k-gram with the least hash in a window is
-   its anchor, and the part of the window on the left or right of it, with the anchor, is its core.
-   Equal windows have equal cores, so only windows whose core (232 of 400 bytes) occurs twice can
-   repeat. Successive windows with one core form a unit, a string a little longer than a window.
+   its anchor. Windows that start about as far before their anchor share all but a few bytes, their
+   core. Equal windows have equal cores, so only windows whose core (344 of 400 bytes) occurs twice
+   can repeat. Successive windows with one core form a unit, a string a little longer than a window.
 2. Units that are equal throughout are copies: all their windows repeat, however many copies there
    are (an aggregation). One of each kind goes on, beside the other units of its core.
 3. The units of a core are sorted in one task, together with those of other cores: `column_sort`
    inserts one symbol of each string in every round, from the last symbol to the first, and updates
    the Burrows-Wheeler transform of the collection, the common prefixes of neighbours and the marks of
-   whole windows. These live in files that every round reads and writes once, in sequence. Windows
-   whose common prefix with a neighbour reaches `width` repeat.
+   whole windows. These are files that every round reads and writes once, in sequence (they stay in
+   memory up to HELD bytes). Windows whose common prefix with a neighbour reaches `width` repeat.
 4. A core with more than `most` unlike units isn't sorted in one task: hashes of its windows are
    counted by an aggregation, with the same result.
 
@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -37,7 +36,11 @@ from tidemill.llm.textvec import _BYTE_VALUES, POWERS, mix
 
 WIDTH, GRAM = 400, 64
 #: Unlike units of one core that are sorted in one task, and strings that are sorted at once.
-MOST, TOGETHER = 4096, 2048
+MOST, TOGETHER = 4096, 1024
+#: Parts that the windows of one anchor are cut into; more parts have longer cores and more rows.
+PARTS = 6
+#: Bytes of one column that stay in memory.
+HELD = 64 << 20
 #: Bytes that are hashed at once; a longer text is cut into pieces that overlap by a window.
 PIECE = 1 << 20
 
@@ -65,13 +68,14 @@ def sliding_min(values: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(back[:count], ahead[n - 1 : n - 1 + count])
 
 
-def units(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+def units(data: np.ndarray, ends: np.ndarray, width: int, gram: int, parts: int = PARTS) -> tuple[np.ndarray, ...]:
     """(key, seg, first, last): runs of window starts with one core, in texts that end at `ends`.
 
     key is the hash of the core, seg that of all bytes of the unit.
     """
     if len(data) < width:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    step = -(-(width - gram + 1) // parts)
     hashes = Hashes(data)
     at = np.arange(len(data) - gram + 1)
     low = np.uint64((1 << 24) - 1)
@@ -79,17 +83,16 @@ def units(data: np.ndarray, ends: np.ndarray, width: int, gram: int) -> tuple[np
     starts = np.arange(len(anchors))
     text = np.searchsorted(ends, starts, "right")
     whole = starts + width <= ends[np.minimum(text, len(ends) - 1)]
-    half = (width - gram) // 2
-    side = starts > anchors - half  # the core lies to the right of the anchor
+    side = (anchors - starts) // step  # windows whose anchor lies about as far from their start have one core
     change = np.ones(len(anchors), bool)
     change[1:] = (anchors[1:] != anchors[:-1]) | (side[1:] != side[:-1]) | (text[1:] != text[:-1]) | (whole[1:] != whole[:-1])
     first = np.flatnonzero(change)
     last = np.concatenate((first[1:], [len(anchors)])) - 1
     keep = whole[first]
     first, last = first[keep], last[keep]
-    a, right = anchors[first], side[first]
-    core = hashes.of(np.where(right, a, a - half), np.where(right, a + gram + half, a + gram))
-    key = mix(core + right.astype(np.uint64))
+    a, part = anchors[first], side[first]
+    core = hashes.of(a - part * step, a - part * step + width + 1 - step)
+    key = mix(core + part.astype(np.uint64))
     seg = mix(hashes.of(first, last + width) + (last - first).astype(np.uint64) * np.uint64(1024) + (a - first).astype(np.uint64))
     return key, seg, first, last
 
@@ -132,16 +135,20 @@ def all_units(keyed: DataFrame, text_col: str, width: int, gram: int) -> DataFra
 
 
 class Column:
-    """An array in a file: read in sequence, written in sequence."""
+    """An array in a file that every round reads and writes in sequence; it leaves memory when it outgrows HELD."""
 
-    def __init__(self, folder: str, name: str, dtype) -> None:
-        self.path, self.dtype = Path(folder, name), dtype
+    def __init__(self, dtype, values: np.ndarray) -> None:
+        self.dtype, self.file = dtype, tempfile.SpooledTemporaryFile(max_size=HELD, prefix="column-")
+        self.write(values)
 
     def read(self) -> np.ndarray:
-        return np.fromfile(self.path, self.dtype)
+        self.file.seek(0)
+        return np.frombuffer(self.file.read(), self.dtype)
 
     def write(self, values: np.ndarray) -> None:
-        values.astype(self.dtype, copy=False).tofile(self.path)
+        self.file.seek(0)
+        self.file.write(values.astype(self.dtype, copy=False).data)
+        self.file.truncate()
 
 
 def column_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,67 +157,66 @@ def column_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
     Round j inserts the suffixes of j symbols of all strings that are as long. The place of such a
     suffix is the rank of its first symbol in the transform so far, which a stable sort of the
     transform gives; its common prefixes with its neighbours are one more than the least common
-    prefix between the places of the rests.
+    prefix between the places of the rests. Suffixes of whole windows are marked.
     """
     n = len(strings)
     sizes = np.array([len(s) for s in strings])
     rounds = int(sizes.max(initial=0))
     if rounds < width:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        symbols, transform, common, marks = (Column(folder, *c) for c in (("symbols", np.uint8), ("transform", np.uint8), ("common", np.int16), ("marks", np.int64)))
-        table = np.zeros((rounds + 1, n), np.uint8)  # row j: the symbol in front of the suffix of j symbols; 0 at the start
-        seen = np.unique(np.frombuffer(b"".join(strings), np.uint8))
-        code = np.zeros(256, np.uint8)
-        code[seen] = np.arange(1, len(seen) + 1)
-        for k, s in enumerate(strings):
-            table[: len(s), k] = code[np.frombuffer(s, np.uint8)[::-1]]
-        symbols.write(table)
-        del table
-        transform.write(np.fromfile(symbols.path, np.uint8, n))
-        common.write(np.zeros(n, np.int16))
-        marks.write(np.full(n, -1))
-        place, alive = np.arange(n), np.flatnonzero(sizes > 0)
-        with symbols.path.open("rb") as columns:
-            columns.seek(n)
-            for j in range(1, rounds + 1):
-                column = np.fromfile(columns, np.uint8, n)
-                old, prefix, mark = transform.read(), common.read(), marks.read()
-                order = np.argsort(old, kind="stable")
-                rank = np.empty(len(old), np.int64)
-                rank[order] = np.arange(len(old))
-                ended = n - len(alive)  # texts with no symbol left: zeros in the transform
-                at = place[alive]
-                k = rank[at]
-                new = k - ended + n
-                size = len(old) + len(alive)
-                rest = np.ones(size, bool)
-                rest[new] = False
-                before, after = order[k - 1], order[np.minimum(k + 1, len(old) - 1)]
-                with_before = (k > 0) & (old[before] == old[at]) & (before < at)
-                with_after = (k + 1 < len(old)) & (old[after] == old[at]) & (after > at)
-                padded = np.append(prefix, np.int16(0))
-                transform_now, common_now, marks_now = np.empty(size, np.uint8), np.empty(size, np.int16), np.empty(size, np.int64)
-                transform_now[rest], common_now[rest], marks_now[rest] = old, prefix, mark
-                transform_now[new] = column[alive]
-                marks_now[new] = alive * (rounds + 1) + j if j >= width else -1
-                common_now[new] = 0
-                for chosen, low, high, where in ((with_before, before, at, new), (with_after, at, after, new + 1)):
-                    if chosen.any():
-                        x, y, w = low[chosen] + 1, high[chosen] + 1, where[chosen]
-                        down = np.argsort(-x, kind="stable")  # then what lies between two ranges is one element
-                        pairs = np.column_stack((x[down], y[down])).ravel()
-                        least = np.minimum.reduceat(padded, pairs)[::2]
-                        common_now[w[down]] = np.minimum(least + 1, width)
-                transform.write(transform_now)
-                common.write(common_now)
-                marks.write(marks_now)
-                place[alive] = new
-                alive = alive[sizes[alive] > j]
-        prefix, mark = common.read(), marks.read()
+    table = np.zeros((rounds + 1, n), np.uint8)  # row j: the symbol in front of the suffix of j symbols; 0 at the start
+    seen = np.unique(np.frombuffer(b"".join(strings), np.uint8))
+    code = np.zeros(256, np.uint8)
+    code[seen] = np.arange(1, len(seen) + 1)
+    for k, s in enumerate(strings):
+        table[: len(s), k] = code[np.frombuffer(s, np.uint8)[::-1]]
+    transform, common = Column(np.uint8, table[0]), Column(np.int16, np.zeros(n, np.int16))
+    marks = Column(np.int32, np.zeros(0, np.int32))
+    place, alive = np.arange(n), np.flatnonzero(sizes > 0)
+    for j in range(1, rounds + 1):
+        old, prefix = transform.read(), common.read()
+        order = np.argsort(old, kind="stable")
+        at = place[alive]
+        # ranks of these places: they stand in order within the run of their symbol
+        symbol = old[at]
+        run_start = np.concatenate(([0], np.cumsum(np.bincount(old, minlength=len(seen) + 1))))
+        k = np.empty(len(at), np.int64)
+        for c in np.unique(symbol):
+            own = np.flatnonzero(symbol == c)
+            k[own] = run_start[c] + np.searchsorted(order[run_start[c] : run_start[c + 1]], at[own])
+        new = k - (n - len(alive)) + n  # zeros of ended strings come first in the order, all strings' ends in the transform
+        size = len(old) + len(alive)
+        rest = np.ones(size, bool)
+        rest[new] = False
+        before, after = order[k - 1], order[np.minimum(k + 1, len(old) - 1)]
+        with_before = (k > 0) & (old[before] == symbol) & (before < at)
+        with_after = (k + 1 < len(old)) & (old[after] == symbol) & (after > at)
+        padded = np.append(prefix, np.int16(0))
+        transform_now, common_now = np.empty(size, np.uint8), np.empty(size, np.int16)
+        transform_now[rest], common_now[rest] = old, prefix
+        transform_now[new] = table[j, alive]
+        common_now[new] = 0
+        for chosen, low, high, where in ((with_before, before, at, new), (with_after, at, after, new + 1)):
+            if chosen.any():
+                x, y, w = low[chosen] + 1, high[chosen] + 1, where[chosen]
+                down = np.argsort(-x, kind="stable")  # then what lies between two ranges is one element
+                pairs = np.column_stack((x[down], y[down])).ravel()
+                least = np.minimum.reduceat(padded, pairs)[::2]
+                common_now[w[down]] = np.minimum(least + 1, width)
+        transform.write(transform_now)
+        common.write(common_now)
+        if j >= width:
+            mark = marks.read() if j > width else np.full(len(old), -1, np.int32)
+            marks_now = np.empty(size, np.int32)
+            marks_now[rest] = mark
+            marks_now[new] = alive * (rounds + 1) + j
+            marks.write(marks_now)
+        place[alive] = new
+        alive = alive[sizes[alive] > j]
+    prefix, mark = common.read(), marks.read()
     joined = prefix >= width
     repeated = joined | np.append(joined[1:], False)
-    found = mark[repeated]
+    found = mark[repeated].astype(np.int64)
     string, length = found // (rounds + 1), found % (rounds + 1)
     return string, sizes[string] - length
 
@@ -225,12 +231,16 @@ def unit_bytes(keyed: DataFrame, wanted: DataFrame, text_col: str, width: int) -
     """(key, row, first, kinds, raw): the bytes of the wanted units (row, list of units)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "row", "first", "kinds", "raw"]
         for batch in batches:
+            out: list[tuple] = []
             for row, text, own in zip(batch["row"], batch["text"], batch["units"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                yield pd.DataFrame(
-                    [(u["key"], row, u["first"], u["kinds"], raw[u["first"] : u["last"] + width]) for u in own], columns=["key", "row", "first", "kinds", "raw"]
-                )
+                out += [(u["key"], row, u["first"], u["kinds"], raw[u["first"] : u["last"] + width]) for u in own]
+                if len(out) >= 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
 
     chosen = keyed.select(F.col("_tm_row").alias("row"), F.col(text_col).alias("text")).join(small(wanted), "row").select("row", "text", "units")
     return chosen.mapInPandas(run, "key bigint, row bigint, first bigint, kinds bigint, raw binary")
