@@ -39,10 +39,12 @@ WIDTH, GRAM = 400, 64
 MOST, TOGETHER = 4096, 1024
 #: Parts that the windows of one anchor are cut into; more parts have longer cores and more rows.
 PARTS = 6
+#: A unit's place is its first start times SPAN plus its number of further starts.
+SPAN = 1 << 20
 #: Bytes of one column that stay in memory.
 HELD = 64 << 20
 #: Bytes that are hashed at once; a longer text is cut into pieces that overlap by a window.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 class Hashes:
@@ -128,10 +130,11 @@ def all_units(keyed: DataFrame, text_col: str, width: int, gram: int) -> DataFra
                 key, seg, first, last = units(data, ends, width, gram)
                 text = np.searchsorted(ends, first, "right")
                 shift = offset[text] - np.concatenate(([0], ends))[text]
-                yield pd.DataFrame({"row": owner[text], "first": first + shift, "last": last + shift, "key": key.view(np.int64), "seg": seg.view(np.int64)})
+                place = (first + shift) * SPAN + (last - first)
+                yield pd.DataFrame({"row": owner[text], "place": place, "key": key.view(np.int64), "seg": seg.view(np.int64)})
 
     chosen = keyed.select(F.col("_tm_row").alias("row"), F.col(text_col).alias("text"))
-    return chosen.mapInPandas(run, "row bigint, first bigint, last bigint, key bigint, seg bigint")
+    return chosen.mapInPandas(run, "row bigint, place bigint, key bigint, seg bigint")
 
 
 class Column:
@@ -173,13 +176,14 @@ def column_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
     transform, common = Column(np.uint8, table[0]), Column(np.int16, np.zeros(n, np.int16))
     marks = Column(np.int32, np.zeros(0, np.int32))
     place, alive = np.arange(n), np.flatnonzero(sizes > 0)
+    counts = np.bincount(table[0], minlength=len(seen) + 1)  # of the symbols in the transform
     for j in range(1, rounds + 1):
         old, prefix = transform.read(), common.read()
         order = np.argsort(old, kind="stable")
         at = place[alive]
         # ranks of these places: they stand in order within the run of their symbol
         symbol = old[at]
-        run_start = np.concatenate(([0], np.cumsum(np.bincount(old, minlength=len(seen) + 1))))
+        run_start = np.concatenate(([0], np.cumsum(counts)))
         k = np.empty(len(at), np.int64)
         for c in np.unique(symbol):
             own = np.flatnonzero(symbol == c)
@@ -195,6 +199,7 @@ def column_sort(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarra
         transform_now, common_now = np.empty(size, np.uint8), np.empty(size, np.int16)
         transform_now[rest], common_now[rest] = old, prefix
         transform_now[new] = table[j, alive]
+        counts += np.bincount(table[j, alive], minlength=len(counts))
         common_now[new] = 0
         for chosen, low, high, where in ((with_before, before, at, new), (with_after, at, after, new + 1)):
             if chosen.any():
@@ -296,12 +301,13 @@ def repeated_windows(keyed: DataFrame, text_col: str = "text", width: int = WIDT
     found = cut(all_units(keyed, text_col, width, gram))
     often = found.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     shared = cut(found.join(often, "key", "left_semi"))
-    kinds = cut(shared.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "last")).alias("one")))
-    copied = shared.join(kinds.filter("copies > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("row", "first", "last")
+    kinds = cut(shared.groupBy("key", "seg").agg(F.count("*").alias("copies"), F.min(F.struct("row", "place")).alias("one")))
+    first, last = (lambda c: F.shiftright(c, 20)), (lambda c: F.shiftright(c, 20) + c % SPAN)
+    copied = shared.join(kinds.filter("copies > 1").select("key", "seg"), ["key", "seg"], "left_semi").select("row", first(F.col("place")).alias("first"), last(F.col("place")).alias("last"))
     cores = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("copies").alias("_least")).filter("kinds > 1 and _least = 1")
     wanted = (
         kinds.join(cores.select("key", "kinds"), "key")
-        .groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", "one.first", "one.last", "kinds")).alias("units"))
+        .groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("key", first(F.col("one.place")).alias("first"), last(F.col("one.place")).alias("last"), "kinds")).alias("units"))
     )
     strings = cut(unit_bytes(keyed, cut(wanted), text_col, width))
     few, many = strings.filter(F.col("kinds") <= most), strings.filter(F.col("kinds") > most)
