@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -158,14 +158,20 @@ def near_matches(keyed: DataFrame, reps: DataFrame, text_col: str, min_words: in
     crowded = halves.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
     wanted = halves.join(crowded, "key", "left_semi").select("row", "no").distinct().groupBy("row").agg(F.collect_list("no").alias("nos"))
     words = cut(line_words(keyed, cut(wanted), text_col))
-    gone = cut(deletions(words).withColumn("pos", F.struct("row", "no")).drop("row", "no"))
-    shorter, whole = gone.filter("at >= 0"), gone.filter("at = -1")
-    earliest = shorter.groupBy("key", "at").agg(F.min("pos").alias("by"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    replaced = shorter.join(earliest, ["key", "at"]).filter("pos != by").select("pos", "by")
-    pairs = shorter.join(whole.select("key", F.col("pos").alias("other")), "key")
-    inserted = pairs.select(F.greatest("pos", "other").alias("pos"), F.least("pos", "other").alias("by"))
-    matches = replaced.union(inserted).groupBy("pos").agg(F.min("by").alias("by")).select(
-        F.col("pos.row").alias("row"), F.col("pos.no").alias("no"), F.col("by.row").alias("by_row"), F.col("by.no").alias("by_no")
+    # one shuffle by key; within it, rows sorted by place let running windows see the earliest and the whole line
+    pos, place = F.struct("row", "no"), ["row", "no"]
+    same = Window.partitionBy("key", "at").orderBy(*place).rowsBetween(Window.unboundedPreceding, 0)
+    of_key = Window.partitionBy("key").orderBy("at", *place).rowsBetween(Window.unboundedPreceding, 0)
+    seen = deletions(words).repartition("key").select(
+        "at", pos.alias("pos"), F.first(pos).over(same).alias("first"), F.first(F.when(F.col("at") == -1, pos), True).over(of_key).alias("whole")
+    )
+    replaced = F.when(F.col("pos") != F.col("first"), F.struct("pos", F.col("first").alias("by")))
+    inserted = F.when(F.col("whole").isNotNull(), F.struct(F.greatest("pos", "whole").alias("pos"), F.least("pos", "whole").alias("by")))
+    matches = (
+        seen.filter("at >= 0 and (pos != first or whole is not null)")
+        .select(F.explode(F.array(replaced, inserted)).alias("m")).filter("m is not null")
+        .groupBy("m.pos").agg(F.min("m.by").alias("by"))
+        .select("pos.row", "pos.no", F.col("by.row").alias("by_row"), F.col("by.no").alias("by_no"))
     )
     theirs = words.select(F.col("row").alias("by_row"), F.col("no").alias("by_no"), F.col("words").alias("by_words"))
     return matches.join(words, ["row", "no"]).join(theirs, ["by_row", "by_no"]).filter(verified("words", "by_words")).select("row", "no")
