@@ -20,6 +20,7 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,41 +32,83 @@ from tidemill.llm.common import cut
 CAPACITY = 2048
 #: Parts in which the ranks within one length are counted.
 PARTS = 64
-#: Texts are cut at these characters before they reach the tokenizer, which drops them anyway.
-BREAKS = str.maketrans("\t\n\r", "   ")
+#: Marks that often end a chunk; the tokenizer parts them from the letters before.
+MARKS = ".,"
 
 
 class ChunkEncoder:
     """Encodes whole texts chunk by chunk (between spaces), remembering chunks seen before.
 
-    The tokenizer splits at white space before it merges anything, so that the ids of a text are
-    those of its chunks in turn.
+    The tokenizer splits at white space, and letters from other characters, before it merges
+    anything, so that the ids of a text are those of its chunks in turn, and those of letters with
+    a mark behind are those of both. New chunks of letters are encoded together, with a digit
+    between them.
     """
 
-    def __init__(self, path: str, most: int = 300_000) -> None:
+    def __init__(self, path: str, most_chunks: int = 700_000, most_words: int = 1_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.forget()
+        self.tokenizer, self.most_chunks, self.most_words = Tokenizer.from_file(path), most_chunks, most_words
+        self.between = self.tokenizer.encode("0", add_special_tokens=False).ids
+        self.marks = {m: self.alone(m) for m in MARKS}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def alone(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        """Add the ids of chunks: those of a word in lower case, and of a mark behind it."""
+        if len(self.chunks) > self.most_chunks:
+            self.chunks = {"": b""}
+        if len(self.words) > self.most_words:
+            self.words = {}
+        chunks, words, marks = self.chunks, self.words, self.marks
+        parts = [(c, c[:-1].lower(), marks[c[-1]]) if c[-1] in marks else (c, c.lower(), b"") for c in new if c.isascii() and (c.isalpha() or c[:-1].isalpha())]
+        other = new.difference([c for c, _, _ in parts])
+        marked = [(c, c[:-1], marks[c[-1]]) if c[-1] in marks else (c, c, b"") for c in other]
+        parts += [x for x in marked if x[1].isalpha() and len(x[1].lower()) == len(x[1]) and x[1].lower().isalpha()]
+        fresh = list({w for _, w, _ in parts}.difference(words))
+        if len(self.between) == 1 and len(fresh) > 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.between[0])
+            if len(cuts) == len(fresh) - 1:
+                whole, at = ids.tobytes(), (np.concatenate(([-1], cuts, [len(ids)])) * 4).tolist()
+                words.update({w: whole[x + 4 : y] for w, x, y in zip(fresh, at, at[1:], strict=False)})
+        for w in fresh:
+            if w not in words:
+                words[w] = self.alone(w)
+        chunks.update({c: words[w] + m for c, w, m in parts})
+        chunks.update({c: self.alone(c) for c in other if c not in chunks})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text; what is new in any of them is learned together."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        for _ in range(2):  # the memory may just have been emptied
+            new = set().union(*[set(own).difference(self.chunks) for own in split])
+            if not new:
+                break
+            self.learn(new)
+        get = self.chunks.__getitem__
+        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in split]
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder per worker process."""
+    return ChunkEncoder(path)
 
-    def forget(self) -> None:
-        self.known: dict[str, np.ndarray] = {"": np.zeros(0, np.uint32)}
 
-    def encode(self, text: str) -> np.ndarray:
-        chunks = text.translate(BREAKS).split(" ")
-        known = self.known
-        try:
-            return np.concatenate([known[c] for c in chunks])
-        except KeyError:
-            pass
-        if len(known) > self.most:
-            self.forget()
-            known = self.known
-        new = list(set(chunks).difference(known))
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, np.uint32)
-        return np.concatenate([known[c] for c in chunks])
+def encoded(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The ids of all texts in turn, taken up in runs of about 200,000 characters."""
+    held: list[str] = []
+    for text in texts:
+        held.append(text or "")
+        if sum(map(len, held)) >= 200_000:
+            yield from encoder.encode(held)
+            held = []
+    yield from encoder.encode(held)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -74,11 +117,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = f"id {chosen.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = encoder_of(tokenizer_path)
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for i, text in enumerate(batch["text"]):
-                ids = np.append(encoder.encode(text or ""), np.uint32(end_id)).astype("<u4")
+            for i, ids in enumerate(encoded(encoder, batch["text"].tolist())):
+                ids = np.append(ids, np.array([end_id], "<u4"))
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     rows.append(i)
