@@ -1,6 +1,7 @@
 """Operators that SQL does not cover, against plain loops; and streams against their batch twins."""
 
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import windows as W
 from tidemill.operators import asof, backtest, factors, recurrences
+from tidemill.plans import relational_queries
 from tidemill.sources.bars import clean, resample_ticks, ticks
 
 
@@ -86,6 +88,38 @@ def test_threshold_bars_leave_out_the_unfinished(spark):
     assert [(r.open, r.high, r.low, r.close, r.volume) for r in got] == [(0, 2, 0, 2, 3), (3, 5, 3, 5, 3)]
 
 
+def walked_bars(rows, size):
+    """Bars of (symbol, ts, seq, price, quantity) by a plain walk."""
+    out = []
+    for symbol in {r[0] for r in rows}:
+        held, bar, number = 0.0, [], 0
+        for r in sorted((r for r in rows if r[0] == symbol), key=lambda r: r[1:3]):
+            bar.append(r)
+            held += r[4]
+            if held >= size:
+                p = [r[3] for r in bar if r[3] is not None] or [None]
+                out.append((symbol, number, p[0], max(p), min(p), p[-1], sum(r[4] for r in bar)))
+                held, bar, number = 0.0, [], number + 1
+    return sorted(out, key=str)
+
+
+def test_bars_of_ticks_equal_a_walk_and_load_no_symbol_whole(spark, small_dir):
+    random.seed(4)
+    for each in (lambda: 1.0, lambda: random.choice([0.25, 1.0, 2.5])):
+        rows = [(random.choice(["A", "A", "B", None]), pd.Timestamp("2024-01-01").to_pydatetime() + pd.Timedelta(minutes=random.randint(0, 900)).to_pytimedelta(), k, random.choice([None, float(random.randint(1, 99))]), each()) for k in range(500)]
+        df = spark.createDataFrame(random.sample(rows, 500), "symbol string, ts timestamp, seq long, price double, quantity double")
+        makers = [recurrences.threshold_bars] + [recurrences.tick_bars] * all(r[4] == 1 for r in rows)
+        for size in (7.0, 2.5, 600.0):
+            for make in makers:
+                assert sorted((tuple(r) for r in make(df, size).collect()), key=str) == walked_bars(rows, size)
+                assert "InPandas" not in make(df, size)._jdf.queryExecution().toString()
+    got = relational_queries.volume_bars(spark, small_dir)
+    assert "Python" not in got._jdf.queryExecution().toString() and "InPandas" not in got._jdf.queryExecution().toString()
+    rows = [tuple(r) for r in ticks(spark, small_dir).select("symbol", "ts", "seq", "price", "quantity").collect()]
+    want = [(s, k, *[None if x is None else round(x, 6) for x in v]) for s, k, *v in walked_bars(rows, 25.0)]
+    assert [tuple(r) for r in got.orderBy("symbol", "bar").collect()] == sorted(want)
+
+
 def test_stream_of_bars_equals_the_batch(spark, small_dir, tmp_path):
     from tidemill.streaming.windows import drain, event_stream, stream_bars
 

@@ -1,17 +1,23 @@
 """Indicators that recur from row to row: one grouped pass for each symbol computes all of a query.
 
-A symbol's bars are bounded (ticks are aggregated first). Means weighted exponentially start at the
-first value, lose weight over gaps, and are NULL until they have seen n values.
+A symbol's bars are bounded (ticks are aggregated first); ticks themselves are numbered by hour or
+walked in batches. Means weighted exponentially start at the first value, lose weight over gaps, and
+are NULL until they have seen n values.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
+
+from tidemill.sources.bars import bucket
 
 KERNELS: dict[str, tuple[list[str], Callable]] = {}
 
@@ -183,21 +189,59 @@ def recur(df: DataFrame, wanted: dict[str, dict]) -> DataFrame:
     return df.groupBy("symbol").applyInPandas(run, schema)
 
 
+def _ordered(name: str) -> list:
+    return [F.col(name).asc_nulls_last(), F.col("seq").asc_nulls_last()]
+
+
+def _bars_of(numbered: DataFrame) -> DataFrame:
+    """One row for each (symbol, bar) of numbered ticks that has come to its end; prices that are unknown are passed over."""
+    price = F.col("price").cast("double")
+    price = F.when(~F.isnan(price), price)
+    at = F.when(price.isNotNull(), F.struct(F.col("ts").isNull(), "ts", F.col("seq").isNull(), "seq"))  # unknown times and orders come last
+    got = numbered.groupBy("symbol", "bar").agg(
+        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"),
+        F.sum(F.col("quantity").cast("double")).alias("volume"), F.max("_last").alias("_ended"),
+    )
+    return got.filter("_ended").drop("_ended")
+
+
+def tick_bars(ticks: DataFrame, size: float) -> DataFrame:
+    """threshold_bars where every tick has quantity 1: a bar is so many ticks, so a tick's number gives its bar.
+
+    Ticks are numbered inside (symbol, hour) and start from the number of those in earlier hours, so
+    that no task sorts a whole symbol.
+    """
+    each = max(1, math.ceil(size))
+    rows = ticks.select("symbol", "ts", "seq", "price", "quantity", bucket(F.col("ts"), "1h").alias("_hour"))
+    before = Window.partitionBy("symbol").orderBy(F.col("_hour").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("symbol", "_hour").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    hours = hours.select(F.col("symbol").alias("_s"), F.col("_hour").alias("_h"), "_start")
+    rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("symbol", "_hour").orderBy(*_ordered("ts"))))
+    rows = rows.join(hours, F.col("symbol").eqNullSafe(F.col("_s")) & F.col("_hour").eqNullSafe(F.col("_h"))).withColumn("_k", F.col("_start") + F.col("_k") - 1)
+    return _bars_of(rows.withColumns({"bar": F.floor(F.col("_k") / each).cast("long"), "_last": F.col("_k") % each == each - 1}))
+
+
 def threshold_bars(ticks: DataFrame, size: float, by: str = "quantity") -> DataFrame:
-    """Bars that close when the running sum of a column reaches `size`; what is unfinished is left out."""
-    schema = StructType([StructField("symbol", StringType()), StructField("bar", LongType()), *[StructField(c, DoubleType()) for c in ("open", "high", "low", "close", "volume")]])
-
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["ts", "seq"], kind="stable")
-        number, held, done = np.empty(len(t), np.int64), 0.0, 0
-        for k, v in enumerate(t[by].to_numpy()):
-            number[k] = done
-            held += v
-            if held >= size:
-                done, held = done + 1, 0.0
-        g = t.assign(bar=number)[number < done].groupby("bar")
-        out = g.agg(open=("price", "first"), high=("price", "max"), low=("price", "min"), close=("price", "last"), volume=("quantity", "sum")).reset_index()
-        out.insert(0, "symbol", t["symbol"].iloc[0])
-        return out
-
-    return ticks.groupBy("symbol").applyInPandas(run, schema)
+    """Bars that close when the running sum of a column reaches `size`; what is unfinished is left out.
+
+    Where a bar starts depends on all bars before it, so each symbol is walked in order by one task;
+    the walk holds a batch of sorted ticks and the open sum, never a symbol whole. An unknown value
+    adds nothing. Where every tick counts 1, tick_bars gives the same and splits symbols.
+    """
+    rows = ticks.select("symbol", "ts", "seq", "price", "quantity", F.coalesce(F.nanvl(F.col(by).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("_by"))
+    schema = StructType([*[f for f in rows.schema.fields if f.name != "_by"], StructField("bar", LongType()), StructField("_last", BooleanType())])
+
+    def run(batches):
+        symbol, held, done = None, 0.0, 0
+        for t in batches:
+            number, last = np.empty(t.num_rows, np.int64), np.zeros(t.num_rows, bool)
+            for k, (s, v) in enumerate(zip(t["symbol"].to_pylist(), t["_by"].to_pylist(), strict=True)):
+                if s != symbol:
+                    symbol, held, done = s, 0.0, 0
+                number[k] = done
+                held += v
+                if held >= size:
+                    last[k], done, held = True, done + 1, 0.0
+            yield pa.RecordBatch.from_arrays([*t.columns[:-1], pa.array(number), pa.array(last)], names=schema.names)
+
+    return _bars_of(rows.repartition("symbol").sortWithinPartitions("symbol", *_ordered("ts")).mapInArrow(run, schema))

@@ -189,7 +189,7 @@ def recurrent_indicators(spark, sf_dir):
 
 @query("volume_bars")
 def volume_bars(spark, sf_dir):
-    return W.rounded(recurrences.threshold_bars(ticks(spark, sf_dir), 25.0), 6)
+    return W.rounded(recurrences.tick_bars(ticks(spark, sf_dir), 25.0), 6)  # ticks have quantity 1
 
 
 @query("derivative_states", f"""WITH {BARS_SQL}, d AS (SELECT *, {lag('close', 20)} AS c20, {lag('volume', 20)} AS v20, sum(CASE WHEN close > open THEN volume ELSE 0 END) {over(12)} AS b, sum(CASE WHEN close < open THEN volume ELSE 0 END) {over(12)} AS s FROM bars)
