@@ -103,6 +103,24 @@ def test_parsing_equals_search():
         assert language_id.Automaton(sample).phrases(text) == longest_matches(text, sample)
 
 
+def test_languages_of_many_letters():
+    """Two languages of 1000 shared letters with samples of unlike size: the words decide, not the size of the sample."""
+    random.seed(6)
+    alphabet = [chr(0x4E00 + 7 * k) for k in range(1000)]
+    words = {lang: ["".join(random.choices(alphabet, k=3)) for _ in range(600)] for lang in ("large", "small")}
+    say = lambda lang, n: language_id.letters(" ".join(random.choices(words[lang], k=n)))
+    samples = {"large": say("large", 8000), "small": say("small", 1500)}
+    model = language_id.Identifier(samples)
+    assert [model.predict(say(lang, 40))[0] for lang in ("large", "small") for _ in range(10)] == ["large"] * 10 + ["small"] * 10
+    sample = samples["small"]
+    for text in (say("small", 60), say("large", 60), sample[100:300] + "Ω" + sample[50:90]):
+        assert language_id.Automaton(sample).phrases(text) == longest_matches(text, sample)
+    for n in (254, 255, 256, 257):
+        sample = "".join(random.choices([chr(0xC0 + k) for k in range(n)], k=4000)) + "".join(chr(0xC0 + k) for k in range(n))
+        text = sample[:40] + "?" + sample[1000:1100] + "".join(random.choices(sample, k=200))
+        assert language_id.Automaton(sample).phrases(text) == longest_matches(text, sample)
+
+
 def test_language_held_out(spark, docs):
     got = language_id.identify(docs, language_id.learn(docs)).filter("lang is not null and length(text) > 100")
     assert got.filter("lang = lang_pred").count() / got.count() > 0.95

@@ -38,13 +38,13 @@ def letters(text: str | None) -> str:
 
 
 class Automaton:
-    """Suffix automaton; transitions lie in one dict under (state << 8) + symbol, symbols are 1 to 255."""
+    """Suffix automaton; transitions lie in one dict under (state << width) + symbol, each character of the sample is a symbol from 1 on."""
 
     def __init__(self, text: str) -> None:
         self.size = max(2, len(text))
-        alphabet = [c for c, _ in pd.Series(list(text)).value_counts().sort_index(kind="stable").items()][:254] if text else []
-        self.codes = {ord(c): k for k, c in enumerate(alphabet, 1)}
-        symbols = [self.codes.get(ord(c), 255) for c in text]
+        self.codes = _Known((ord(c), k) for k, c in enumerate(sorted(set(text)), 1))
+        self.width = len(self.codes).bit_length()
+        symbols = [self.codes[ord(c)] for c in text]
         moves: list[dict[int, int]] = [{}]
         link, length, last = [-1], [0], 0
         for c in symbols:
@@ -70,13 +70,13 @@ class Automaton:
                         p = link[p]
                     link[q] = link[state] = copy
             last = state
-        self.next = {(s << 8) + c: t << 8 for s, m in enumerate(moves) for c, t in m.items()}
+        self.next = {(s << self.width) + c: t << self.width for s, m in enumerate(moves) for c, t in m.items()}
 
     def phrases(self, text: str) -> int:
         """Number of longest matches that the text falls into; unknown characters are phrases of their own."""
-        follow, known, count, state = self.next.get, self.codes, 0, 0
-        data = text.translate(_Known(known)).encode("latin-1")
-        for c in data:
+        follow, count, state = self.next.get, 0, 0
+        data = text.translate(self.codes)
+        for c in data.encode("latin-1") if self.width <= 8 else map(ord, data):
             to = follow(state + c)
             if to is None:
                 count += state != 0
