@@ -120,6 +120,34 @@ def test_bars_of_ticks_equal_a_walk_and_load_no_symbol_whole(spark, small_dir):
     assert [tuple(r) for r in got.orderBy("symbol", "bar").collect()] == sorted(want)
 
 
+def test_equal_levels_keep_old_pivots(spark):
+    """Pivots with trends of up to 500 bars between them, against a plain walk."""
+    from tidemill.functions import structure
+
+    random.seed(8)
+    turns = [2, 30, 9, 500, 40, 450, 12, 13, 12, 13, 90] + [random.randint(6, 14) for _ in range(60)]
+    rows, at, way = [], 1000.0, 1
+    for n in turns:
+        for _ in range(n):
+            at += way * 400 / max(n, 40)
+            rows.append((at + 1, at - 1))
+        way = -way
+    df = spark.createDataFrame([("A", k, h, low) for k, (h, low) in enumerate(rows)], "symbol string, ts long, high double, low double")
+    got = structure.equal_levels(df, 2.0, most=8).orderBy("ts").select("n_equal_highs", "eqh_level", "eqh_count", "n_equal_lows", "eql_level", "eql_count").collect()
+    seen, cluster = ([], []), [[], []]
+    for k in range(len(rows)):
+        c = k - 5
+        for side, sign in ((0, 1), (1, -1)):
+            x = [sign * r[side] for r in rows]
+            if c >= 1 and x[c] > max(x[max(0, c - 5) : c]) and x[c] >= max(x[c + 1 : c + 6]):
+                seen[side].append(rows[c][side])
+                cluster[side] = [p for p in seen[side][-8:] if abs(p - rows[c][side]) / rows[c][side] <= 0.02]
+        for near, (n, level, count) in zip(cluster, (got[k][:3], got[k][3:]), strict=True):
+            assert n == len(near) and count == (len(near) if len(near) > 1 else 0)
+            assert level is None if len(near) < 2 else math.isclose(level, sum(near) / len(near))
+    assert len(seen[0]) > 30 and got[700].n_equal_highs > 0
+
+
 def test_stream_of_bars_equals_the_batch(spark, small_dir, tmp_path):
     from tidemill.streaming.windows import drain, event_stream, stream_bars
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.windows import prev, series, so_far, trailing, yes
+from tidemill.functions.windows import prev, series, so_far, yes
 
 
 def pivots(df: DataFrame, n: int = 5) -> DataFrame:
@@ -37,13 +37,22 @@ def zone(band: float = 0.001) -> Column:
 
 
 def equal_levels(df: DataFrame, tolerance: float = 0.1, most: int = 20, n: int = 5) -> DataFrame:
-    """n_equal_highs: how many of the last confirmed pivot highs lie within so many percent of the newest."""
-    df = pivots(df, n).withColumn("_p", F.when(F.col("pivot_high"), F.col("high"))).withColumn("_p", prev("_p", n))
-    seen = F.reverse(F.collect_list("_p").over(trailing(20 * most)))  # collect_list leaves NULL out
-    df = df.withColumn("_seen", F.slice(seen, 1, most))
-    newest = F.get("_seen", 0)
-    near = F.filter("_seen", lambda x: F.abs(x - newest) <= newest * (tolerance / 100))
-    return df.withColumn("n_equal_highs", F.when(F.size("_seen") > 0, F.size(near)).otherwise(0)).drop("_p", "_seen")
+    """Levels that the last `most` confirmed pivots share with the newest, within so many percent of it, however old they are.
+
+    n_equal_highs and n_equal_lows count the newest too. eqh_level, eqh_count, eql_level and eql_count
+    are mean and size of the cluster, NULL and 0 where the newest is alone. All stay until the next pivot.
+    """
+    df = pivots(df, n).withColumns({"_ph": F.when(F.col("pivot_high"), F.col("high")), "_pl": F.when(F.col("pivot_low"), F.col("low"))})
+    df = df.withColumns({"_ph": prev("_ph", n), "_pl": prev("_pl", n)})
+    for p, name, short in (("_ph", "n_equal_highs", "eqh"), ("_pl", "n_equal_lows", "eql")):
+        among = Window.partitionBy("symbol", F.col(p).isNotNull()).orderBy("ts").rowsBetween(-(most - 1), 0)  # bars with a pivot by themselves
+        df = df.withColumn("_near", F.collect_list(p).over(among))
+        near = F.filter("_near", lambda x: F.abs(x - F.col(p)) <= F.col(p) * (tolerance / 100))  # noqa: B023
+        df = df.withColumn("_near", F.last(F.when(F.col(p).isNotNull(), near), True).over(so_far()))
+        size = F.coalesce(F.size("_near"), F.lit(0))
+        level = F.aggregate("_near", F.lit(0.0), lambda a, x: a + x) / F.size("_near")
+        df = df.withColumns({name: F.when(F.col("_near").isNotNull(), size).otherwise(0), f"{short}_level": F.when(size > 1, level), f"{short}_count": F.when(size > 1, size).otherwise(0)})
+    return df.drop("_ph", "_pl", "_near")
 
 
 def trend_breaks(df: DataFrame, n: int = 5) -> DataFrame:

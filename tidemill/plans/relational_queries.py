@@ -293,3 +293,19 @@ def equal_highs(spark, sf_dir):
     from tidemill.functions import structure as M
 
     return M.equal_levels(hourly(spark, sf_dir), 2.0).select("symbol", "ts", F.col("n_equal_highs").cast("long").alias("n_equal_highs"))
+
+
+def _cluster_sql(side: str, pivot: str) -> str:
+    """Clusters at the bars that confirm a pivot: the pivots of the last 20 near to the newest."""
+    return f"""{side}s AS (SELECT symbol, ts, {pivot} AS newest, list({pivot}) OVER ({SERIES_SQL} ROWS 19 PRECEDING) AS seen FROM lg WHERE {pivot} IS NOT NULL),
+{side} AS (SELECT symbol, ts, list_filter(seen, lambda x: abs(x - newest) <= newest * (2.0 / 100)) AS near FROM {side}s)"""
+
+
+@query("equal_levels", f"""WITH {STRUCTURE}, {_cluster_sql('eqh', 'h5')}, {_cluster_sql('eql', 'l5')}
+SELECT lg.symbol, lg.ts, {r('CASE WHEN len(eqh.near) > 1 THEN list_avg(eqh.near) END', 'eqh_level')}, CASE WHEN len(eqh.near) > 1 THEN len(eqh.near) ELSE 0 END AS eqh_count,
+  {r('CASE WHEN len(eql.near) > 1 THEN list_avg(eql.near) END', 'eql_level')}, CASE WHEN len(eql.near) > 1 THEN len(eql.near) ELSE 0 END AS eql_count
+FROM lg ASOF LEFT JOIN eqh ON lg.symbol = eqh.symbol AND lg.ts >= eqh.ts ASOF LEFT JOIN eql ON lg.symbol = eql.symbol AND lg.ts >= eql.ts""")
+def equal_levels(spark, sf_dir):
+    from tidemill.functions import structure as M
+
+    return W.rounded(M.equal_levels(hourly(spark, sf_dir), 2.0).select("symbol", "ts", "eqh_level", F.col("eqh_count").cast("long").alias("eqh_count"), "eql_level", F.col("eql_count").cast("long").alias("eql_count")), 6)
