@@ -62,6 +62,27 @@ def test_asof_ties_nulls_and_empty(spark):
     assert asof.asof_left(left, right.limit(0), ["v"]).filter("v is not null").isEmpty()
 
 
+@pytest.mark.parametrize("kind", ["long", "timestamp", "timestamp_ntz"])
+def test_asof_and_counts_share_a_key_out_by_time(spark, kind):
+    random.seed(9)
+    some = lambda n, most: [(random.choice(["A", "A", None]), random.choice([None, *[random.randint(0, most) for _ in range(20)]]), k) for k in range(n)]
+    left, right = some(300, 90000), some(40, 90000) + [("A", 7200, 900), ("A", 3599, 901)]
+    left += [("A", t, 1000 + t) for t in (7199, 7200, 7201, 10799, 10800, 3600)]
+    frame = lambda rows: spark.createDataFrame(rows, "symbol string, ts long, v long").withColumn("ts", F.col("ts") if kind == "long" else F.timestamp_seconds("ts").cast(kind))
+    at = lambda t: -1 if t is None else t
+
+    def latest(s, t):
+        return max(((at(u), v) for r, u, v in right if r == s and at(u) <= at(t)), default=(None, None))[1]
+
+    joined = asof.asof_left(frame(left).withColumnRenamed("v", "k"), frame(right), ["v"])
+    assert {r.k: r.v for r in joined.collect()} == {k: latest(s, t) for s, t, k in left} and joined.columns == ["symbol", "ts", "k", "v"]
+    counted = asof.count_in_span(frame(left), frame(right), 3600)
+    want = {k: sum(r == s and ((t is None and u is None) or (None not in (t, u) and t - 3600 < u <= t)) for r, u, _ in right) for s, t, k in left}
+    assert {r.v: r.n_events for r in counted.collect()} == want and counted.count() == len(left)
+    for df, piece in ((joined, "_hour"), (counted, "_piece")):
+        assert "hashpartitioning(symbol" in (plan := df._jdf.queryExecution().executedPlan().toString()) and f", {piece}#" in plan
+
+
 def test_factor_nodes_are_shared_and_ranks_average_ties(spark):
     df = spark.createDataFrame([(s, t, float(v)) for t in range(3) for s, v in zip("abcd", (1, 2, 2, None or 5), strict=True)], "symbol string, ts long, x double")
     got = factors.add_factors(df, {"r": factors.rank(factors.column("x")), "r2": factors.rank(factors.column("x")) * 2}).filter("ts = 0").orderBy("symbol").collect()

@@ -2,32 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _hour(both: DataFrame, ts: str) -> Column:
+    """A number that grows with ts and changes every hour."""
+    if dict(both.dtypes)[ts] == "timestamp_ntz":
+        return F.unix_date(F.col(ts).cast("date")) * 24 + F.hour(ts)
+    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000)
+
+
 def asof_left(left: DataFrame, right: DataFrame, columns: list[str], tolerance_seconds: float | None = None, by: str = "symbol", ts: str = "ts") -> DataFrame:
     """Every left row with the latest right row at or before it (a right row at the same instant counts).
 
-    One union and one running window: linear, spillable, no range join. Right rows of one instant
-    are taken in the order of their values.
+    One union and a running window inside each hour; the last right row of earlier hours comes from
+    an aggregation by hour. Linear, spillable, no range join, and one key is shared out by hours.
+    Right rows of one instant are taken in the order of their values.
     """
     values = F.struct(F.col(ts).alias("_at"), *columns)
     both = left.withColumns({"_left": F.lit(1), "_value": F.lit(None).cast(right.select(values.alias("v")).schema["v"].dataType)}).unionByName(
         right.select(by, ts, F.lit(0).alias("_left"), values.alias("_value")), allowMissingColumns=True
     )
-    before = Window.partitionBy(by).orderBy(ts, "_left", "_value").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("_value", F.last("_value", True).over(before)).filter("_left = 1").drop("_left")
+    both = both.withColumn("_hour", _hour(both, ts))
+    hours = both.groupBy(by, "_hour").agg(F.max("_value").alias("_end"))
+    earlier = Window.partitionBy(by).orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(F.col(by).alias("_by"), F.col("_hour").alias("_of"), F.last("_end", True).over(earlier).alias("_start"))
+    before = Window.partitionBy(by, "_hour").orderBy(ts, "_left", "_value").rowsBetween(Window.unboundedPreceding, 0)
+    got = both.withColumn("_value", F.last("_value", True).over(before)).filter("_left = 1")
+    got = got.join(hours, F.col(by).eqNullSafe(F.col("_by")) & F.col("_hour").eqNullSafe(F.col("_of"))).withColumn("_value", F.coalesce("_value", "_start"))
+    got = got.drop("_left", "_hour", "_by", "_of", "_start")
     fresh = F.lit(True) if tolerance_seconds is None else F.col(ts).cast("timestamp").cast("double") - F.col("_value._at").cast("timestamp").cast("double") <= tolerance_seconds
     return got.withColumns({c: F.when(fresh, F.col(f"_value.{c}")) for c in columns}).drop("_value")
 
 
 def count_in_span(left: DataFrame, events: DataFrame, seconds: int, out: str = "n_events", by: str = "symbol", ts: str = "ts") -> DataFrame:
-    """Every left row with the number of events in (ts - seconds, ts]."""
+    """Every left row with the number of events in (ts - seconds, ts].
+
+    Time is cut into pieces as long as the span; an event counts in its own piece and the next, so
+    that every piece is counted by itself.
+    """
+    step = seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     both = left.withColumn("_event", F.lit(0)).unionByName(events.select(by, ts, F.lit(1).alias("_event")), allowMissingColumns=True).withColumn("_us", micros)
-    span = Window.partitionBy(by).orderBy("_us").rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return both.withColumn(out, F.sum("_event").over(span)).filter("_event = 0").drop("_event", "_us")
+    piece = F.col("_us") - F.pmod(F.col("_us"), F.lit(step))
+    both = both.withColumn("_piece", F.explode(F.when((F.col("_event") == 1) & piece.isNotNull(), F.array(piece, piece + step)).otherwise(F.array(piece))))
+    span = Window.partitionBy(by, "_piece").orderBy("_us").rangeBetween(-step + 1, 0)
+    return both.withColumn(out, F.sum("_event").over(span)).filter("_event = 0").drop("_event", "_us", "_piece")
 
 
 def latest(rows: DataFrame, by: str = "symbol", ts: str = "ts", tie: str | None = None) -> DataFrame:
