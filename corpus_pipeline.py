@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
 `documents`. No SQL gives the rows of a fitted classifier and of a packing, so ORACLE_SQL is None;
-tests hold each stage against brute force.
+tests hold the rows of the first three stages against plain versions. Mixing and packing are held to
+targets and kept texts by the tests of their operators only.
 """
 
 from __future__ import annotations

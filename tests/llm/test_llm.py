@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -387,3 +388,47 @@ def test_pipeline(spark, small_dir):
             assert got.count() <= docs.count()
         docs = got
     assert "sequence_id" in corpus_pipeline.STAGES[4][1](spark, docs, small_dir).columns
+
+
+def test_pipeline_stages_keep_the_right_rows(spark, small_dir):
+    """Stages that drop rows, each against a plain version over its own input."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small_dir}/documents.parquet").cache()
+    labels = spark.read.parquet(f"{small_dir}/labels.parquet").select("doc_id", "quality")
+    good, fresh, single = (stage for _, stage in corpus_pipeline.STAGES[:3])
+
+    scores = quality_model.score(docs, quality_model.train(docs, labels)).collect()
+    kept = good(spark, docs, small_dir).cache()
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in scores if r.score >= quality_model.THRESHOLD)
+
+    con = duckdb.connect()
+    con.register("documents", kept.select("doc_id", "text").toPandas())
+    want = {k: digest for k, _, exact, near, digest in con.execute(line_dedup.SQL).fetchall()}
+    blank = {hashlib.sha256(t.encode()).hexdigest() for t in ("", "\n", "\n\n")}
+    whole = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in kept.collect()}
+    left = fresh(spark, kept, small_dir).cache()
+    got = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in left.collect()}
+    assert all(got[k] == want[k] for k in got)
+    assert all(want[k] != whole[k] and want[k] in blank for k in want.keys() - got.keys())
+
+    rows = {r.doc_id: (r.text or "").lower() if (r.text or "").isascii() else "".join(c.lower() if c.isascii() else c for c in r.text) for r in left.collect()}
+    grams = {}
+    for k, t in rows.items():
+        w = [x for x in re.split("[ \t-\r]+", t) if x]
+        grams[k] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {k: k for k in rows}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(rows)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            shared = len(grams[a] & grams[b])
+            if shared and 100 * shared >= 80 * (len(grams[a]) + len(grams[b]) - shared):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    assert sorted(r.doc_id for r in single(spark, left, small_dir).collect()) == [k for k in ids if root[k] == k]
