@@ -10,13 +10,16 @@ base patterns, and copies of them in which a base span is rewritten: into forms
 miss (a phone number without its country code, an address with "(at)") or into what is no personal
 data (a wrong checksum, an address part over 255, dates, versions).
 
-A text is scanned whole. The program runs over the stretches around digits and at-signs; elsewhere
-no segment can be an entity, so that leaving the rest out changes nothing. Base spans stay; spans of
-the model are added where they overlap no base span.
+A text is scanned whole. The program runs over stretches of whole tokens that reach `MAX_TOKENS`
+beyond each digit or at-sign: no segment further out can be an entity, and the last token of a
+stretch is none, so that leaving the rest out changes nothing. A long stretch is scored in blocks of
+tokens, and only its back pointers stay. Base spans stay; spans of the model are added where they
+overlap no base span.
 
 Defined results: null and empty texts have no spans; equal starts are ordered by kind; repeated rows
 get equal results; with nothing to learn from, the model is fitted on invented values; an empty
-table gives an empty result; extra columns are not looked at.
+table gives an empty result; extra columns pass through, and one that is named like a result stays
+under its name with `_input` behind it.
 """
 
 from __future__ import annotations
@@ -30,10 +33,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm.common import aside
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_TOKENS = 16
-#: Tokens on both sides of a digit or at-sign that belong to its stretch.
-AROUND = 6
+#: Tokens that are scored at once, and tokens of a window of the sample.
+BLOCK, WINDOW_TOKENS = 4096, 48
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -88,16 +93,44 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def tokens_before(text: str, at: int, count: int) -> int:
+    """Where the token starts that is `count` tokens before the one that holds or follows `at`."""
+
+    def word_start(k: int) -> int:
+        while k > 0 and text[k - 1].isalnum():
+            k -= 1
+        return k
+
+    at = word_start(at) if text[at].isalnum() else at
+    for _ in range(count):
+        if at == 0:
+            break
+        at = word_start(at - 1) if text[at - 1].isalnum() else at - 1
+    return at
+
+
+def tokens_after(text: str, at: int, count: int) -> int:
+    """Where the token ends that is `count` tokens after the one at `at`; `at` stands inside or at the start of a token."""
+    for _ in range(count + 1):
+        m = _TOKEN.match(text, at)
+        if m is None:
+            break
+        at = m.end()
+    return at
+
+
 def stretches(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges of text around digits and at-signs, cut at blanks, that no other such sign is near."""
-    reach = 40
+    """Ranges of whole tokens around digits and at-signs."""
     start = end = -1
-    for m in _ANCHOR.finditer(text):
-        if m.start() > end:
+    at = 0
+    while (m := _ANCHOR.search(text, at)) is not None:
+        before = tokens_before(text, m.start(), MAX_TOKENS) if m.start() > end else end
+        if before > end:
             if end >= 0:
                 yield start, end
-            start = max(0, end, m.start() - reach)
-        end = min(len(text), m.end() + reach)
+            start = before
+        end = tokens_after(text, m.end() - 1, MAX_TOKENS)
+        at = _TOKEN.match(text, m.end() - 1).end()  # further signs in this token change nothing
     if end >= 0:
         yield start, end
 
@@ -175,44 +208,89 @@ class Field:
         out[..., 1:, 0] = -np.inf  # what is no entity is a segment of one token
         return out
 
-    def decode(self, s: Segments) -> list[Span]:
-        """The best segmentation of a stretch."""
-        n = len(s.places)
-        if not s.entity.any():
+    def decode(self, text: str, start: int = 0, end: int | None = None) -> list[Span]:
+        """The best segmentation of a stretch of whole tokens."""
+        end = len(text) if end is None else end
+        begins = np.fromiter((m.start() for m in _TOKEN.finditer(text, start, end)), np.int64)
+        n, labels = len(begins), len(KINDS) + 1
+        if not n:
             return []
-        scores = self.scores(s.features.astype(np.float64), s.entity)
-        labels = len(KINDS) + 1
-        entered = np.full((n + 1, labels), -np.inf)  # best score of what ends before, by the label that follows
-        came = np.zeros((n + 1, labels), np.int64)
-        entered[0] = self.moves[0]
-        back = np.zeros((n, labels), np.int64)
-        for t in range(n):
-            width = min(t + 1, MAX_TOKENS)
-            options = entered[t - np.arange(width)] + scores[t, :width]
-            back[t] = options.argmax(axis=0)
-            best = options.max(axis=0)
-            onward = best[:, None] + self.moves
-            came[t + 1], entered[t + 1] = onward.argmax(axis=0), onward.max(axis=0)
+        stops = np.append(begins[1:], end)
+        back, came = np.zeros((n, labels), np.int8), np.zeros((n + 1, labels), np.int8)
+        entered = np.full((MAX_TOKENS, labels), -np.inf)  # best score of what ends before a token, by the label that follows; the last ones
+        entered[-1] = self.moves[0]
+        found = False
+        for x in range(0, n, BLOCK):
+            y, low = min(n, x + BLOCK), max(0, x - MAX_TOKENS - 1)
+            s = segments(text[begins[low] : stops[min(n - 1, y)]])
+            own = slice(x - low, y - low)
+            found |= bool(s.entity[own].any())
+            scores = self.scores(s.features[own].astype(np.float64), s.entity[own])
+            entered = np.concatenate((entered, np.empty((y - x, labels))))
+            for t in range(x, y):
+                width, k = min(t + 1, MAX_TOKENS), t - x + MAX_TOKENS - 1
+                options = entered[k - np.arange(width)] + scores[t - x, :width]
+                back[t] = options.argmax(axis=0)
+                best = options.max(axis=0)
+                onward = best[:, None] + self.moves
+                came[t + 1], entered[k + 1] = onward.argmax(axis=0), onward.max(axis=0)
+            entered = entered[-MAX_TOKENS:]
         out, t, label = [], n - 1, int(best.argmax())
-        while t >= 0:
+        while found and t >= 0:
             width = int(back[t, label])
             if label:
-                out.append((s.places[t - width][0], label - 1, s.places[t][1]))
+                out.append((int(begins[t - width]), label - 1, int(stops[t])))
             label, t = int(came[t - width, label]), t - width - 1
         return out[::-1]
 
+    def expectations(self, x: np.ndarray, entity: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(log of the sum over all segmentations of each window, expected features by label, expected moves).
+
+        Windows of unlike length stand in arrays of one length; `last` is their number of tokens.
+        """
+        n, tokens = x.shape[:2]
+        labels, rows = len(KINDS) + 1, np.arange(n)
+        scores = self.scores(x.astype(np.float64), entity)
+        entered = np.full((n, tokens + 1, labels), -np.inf)
+        entered[:, 0] = self.moves[0]
+        ended = np.full((n, tokens, labels), -np.inf)
+        for t in range(tokens):
+            width = min(t + 1, MAX_TOKENS)
+            ended[:, t] = _total(entered[:, t - np.arange(width)] + scores[:, t, :width], 1)
+            entered[:, t + 1] = _total(ended[:, t, :, None] + self.moves, 1)
+        whole = _total(ended[rows, last - 1], 1)
+        # rest[t]: all that follows token t, by the label that ended there
+        rest = np.full((n, tokens + MAX_TOKENS, labels), -np.inf)
+        onward = np.full((n, tokens + 1, labels), -np.inf)  # all that starts at t, by its first label
+        for t in range(tokens - 1, -1, -1):
+            rest[:, t] = np.where((last - 1 == t)[:, None], 0.0, _total(self.moves + onward[:, t + 1, None, :], 2) if t + 1 < tokens else -np.inf)
+            width = min(MAX_TOKENS, tokens - t)
+            ahead = t + np.arange(width)
+            onward[:, t] = _total(scores[:, ahead, np.arange(width)] + rest[:, ahead], 1)
+        expected, moved = np.zeros_like(self.weights), np.zeros_like(self.moves)
+        for t in range(tokens):
+            width = min(t + 1, MAX_TOKENS)
+            p = np.exp(entered[:, t - np.arange(width)] + scores[:, t, :width] + rest[:, t, None] - whole[:, None, None])
+            p[last <= t] = 0
+            expected += np.einsum("nwf,nwl->fl", x[:, t, :width], p, optimize=True)
+            if t + 1 < tokens:
+                m = np.exp(ended[:, t, :, None] + self.moves + onward[:, t + 1, None, :] - whole[:, None, None])
+                m[last <= t + 1] = 0
+                moved += m.sum(axis=0)
+        moved[0] += np.exp(entered[:, 0] + onward[:, 0] - whole[:, None]).sum(axis=0)
+        return whole, expected, moved
+
 
 def _total(x: np.ndarray, axis: int | tuple[int, ...]) -> np.ndarray:
     top = np.maximum(x.max(axis=axis, keepdims=True), -1e30)
     return np.squeeze(np.log(np.exp(x - top).sum(axis=axis, keepdims=True) + 1e-300) + top, axis=axis)
 
 
-def fit(examples: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.15, decay: float = 2e-3, tokens: int = 48) -> Field:
+def fit(examples: list[tuple[str, list[Span]]], rounds: int = 60, rate: float = 0.15, decay: float = 2e-3) -> Field:
     """Maximum likelihood by forward-backward over all segments of all windows at once."""
     labels, features = len(KINDS) + 1, len(NAMES)
-    made = [(segments(text), spans) for text, spans in examples]
-    made = [(s, spans) for s, spans in made if 0 < len(s.places) <= tokens]
-    n = len(made)
+    made = [(s, spans) for s, spans in ((segments(text), spans) for text, spans in examples) if s.places]
+    n, tokens = len(made), max(len(s.places) for s, _ in made)
     x, entity = np.zeros((n, tokens, MAX_TOKENS, features), np.float32), np.zeros((n, tokens, MAX_TOKENS), bool)
     last = np.array([len(s.places) for s, _ in made])
     truth, moves_seen = np.zeros((features, labels)), np.zeros((labels, labels))
@@ -233,36 +311,8 @@ def fit(examples: list[tuple[str, list[Span]]], rounds: int = 60, rate: float =
             moves_seen[a, b] += 1
     field = Field(np.zeros((features, labels)), np.zeros((labels, labels)))
     state = [np.zeros_like(v) for v in (field.weights, field.weights, field.moves, field.moves)]
-    rows = np.arange(n)
     for step in range(1, rounds + 1):
-        scores = field.scores(x.astype(np.float64), entity)
-        entered = np.full((n, tokens + 1, labels), -np.inf)
-        entered[:, 0] = field.moves[0]
-        ended = np.full((n, tokens, labels), -np.inf)
-        for t in range(tokens):
-            width = min(t + 1, MAX_TOKENS)
-            ended[:, t] = _total(entered[:, t - np.arange(width)] + scores[:, t, :width], 1)
-            entered[:, t + 1] = _total(ended[:, t, :, None] + field.moves, 1)
-        whole = _total(ended[rows, last - 1], 1)
-        # rest[t]: all that follows token t, by the label that ended there
-        rest = np.full((n, tokens + MAX_TOKENS, labels), -np.inf)
-        onward = np.full((n, tokens + 1, labels), -np.inf)  # all that starts at t, by its first label
-        for t in range(tokens - 1, -1, -1):
-            rest[:, t] = np.where((last - 1 == t)[:, None], 0.0, _total(field.moves + onward[:, t + 1, None, :], 2) if t + 1 < tokens else -np.inf)
-            width = min(MAX_TOKENS, tokens - t)
-            ahead = t + np.arange(width)
-            onward[:, t] = _total(scores[:, ahead, np.arange(width)] + rest[:, ahead], 1)
-        expected, moved = np.zeros_like(truth), np.zeros_like(moves_seen)
-        for t in range(tokens):
-            width = min(t + 1, MAX_TOKENS)
-            p = np.exp(entered[:, t - np.arange(width)] + scores[:, t, :width] + rest[:, t, None] - whole[:, None, None])
-            p[last <= t] = 0
-            expected += np.einsum("nwf,nwl->fl", x[:, t, :width], p, optimize=True)
-            if t + 1 < tokens:
-                m = np.exp(ended[:, t, :, None] + field.moves + onward[:, t + 1, None, :] - whole[:, None, None])
-                m[last <= t + 1] = 0
-                moved += m.sum(axis=0)
-        moved[0] += np.exp(entered[:, 0] + onward[:, 0] - whole[:, None]).sum(axis=0)
+        _, expected, moved = field.expectations(x, entity, last)
         for k, (value, seen, want) in enumerate(((field.weights, truth, expected), (field.moves, moves_seen, moved))):
             g = (want - seen) / n + decay * value
             state[2 * k] = 0.9 * state[2 * k] + 0.1 * g
@@ -298,31 +348,38 @@ def invented() -> list[str]:
     ]
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 300, fit_windows: int = 240) -> Field:
-    """Fit on windows of a bounded sample: the documents with a digit or at-sign and the least hash of their id."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
-    chosen = rows.select(F.xxhash64("id").alias("h"), "id").orderBy("h", "id").limit(fit_docs)
+def sample_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 300, fit_windows: int = 240, seed: str = "") -> list[str]:
+    """Windows around digits and at-signs: those with the least hashes, of the documents with the least hashes of their id."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    chosen = rows.select(F.xxhash64("id", F.lit(seed)).alias("h"), "id").distinct().orderBy("h", "id").limit(fit_docs)
     windows = F.regexp_extract_all("text", F.lit(r"(?s)(.{0,60}[0-9@][^ ]{0,60}.{0,60})"), 1)
-    # at most fit_docs ids: a bounded broadcast, and a bounded result
-    found = rows.join(F.broadcast(chosen.distinct()), "id").select("h", "id", F.slice(windows, 1, 8).alias("windows")).limit(2 * fit_docs).collect()
-    sample = sorted(found, key=lambda r: (r["h"], r["id"], r["windows"]))
+    # at most fit_docs ids: a bounded broadcast; of rows with one id the least text is taken
+    found = rows.join(F.broadcast(chosen), "id").groupBy("h").agg(F.min("text").alias("text"))
+    taken = found.select(F.explode(windows).alias("w")).distinct().orderBy(F.xxhash64("w", F.lit(seed)), "w").limit(fit_windows).collect()
+    return [r["w"][: tokens_after(r["w"], 0, WINDOW_TOKENS - 1)] for r in taken]
+
+
+def examples_of(windows: list[str]) -> list[tuple[str, list[Span]]]:
+    """Windows with their base spans, and after each window with one span the same with the span rewritten."""
     examples: list[tuple[str, list[Span]]] = []
-    for text in [*[w for r in sample for w in r["windows"]][:fit_windows], *invented()]:
+    for text in windows:
         spans = base_spans(text)
         examples.append((text, spans))
         if len(spans) == 1:
             examples.append(rewritten(text, spans[0], len(examples)))
-    return fit(examples)
+    return examples
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = 300, fit_windows: int = 240) -> Field:
+    """Fit on at most `fit_windows` windows of a bounded sample of `fit_docs` documents, and on invented ones."""
+    return fit(examples_of([*sample_windows(docs, id_col, text_col, fit_docs, fit_windows), *invented()]))
 
 
 def find(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """Base spans, and all spans with those that the model adds."""
     base, added = base_spans(text), []
     for start, end in stretches(text):
-        for b, kind, e in field.decode(segments(text[start:end], start)):
-            inside = b > start or start == 0 or not (text[start - 1].isalnum() and text[b].isalnum())
-            if inside and not any(s < e and b < f for s, _, f in base):
-                added.append((b, kind, e))
+        added += [x for x in field.decode(text, start, end) if not any(s < x[2] and x[0] < f for s, _, f in base)]
     return base, sorted(base + added)
 
 
@@ -341,7 +398,8 @@ def personal_data(docs: DataFrame, field: Field, text_col: str = "text") -> Data
             rows.append((*[sum(k == kind for _, k, _ in base) for kind in range(len(KINDS))], joined(base), joined(spans)))
         return pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "spans"])
 
-    return docs.withColumn("_tm_found", of(F.col(text_col))).select(*[F.col(f"`{c}`") for c in docs.columns], "_tm_found.*")
+    rest = aside(docs, ("n_email", "n_ip", "n_card", "n_phone", "base", "spans"))
+    return docs.withColumn("_tm_found", of(F.col(text_col))).select(*rest, "_tm_found.*")
 
 
 def redact(text: str, spans: str) -> str:
