@@ -6,7 +6,8 @@ run in the order of rejection per cost, and a rule runs only on rows that all ea
 let through. The verdict does not depend on the order.
 
 Defined results: a null or blank text has no words and fails the base rule; ties do not arise; a
-repeated row gets the same verdict each time; extra columns pass through `apply_rules` untouched.
+repeated row gets the same verdict each time; extra columns pass through `apply_rules`, and one that
+is named like a result stays under its name with `_input` behind it.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import SPACES, let, words
+from tidemill.llm.common import SPACES, aside, let, words
 
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @dataclass(frozen=True)
@@ -123,12 +125,13 @@ def default_rules(text_col: str = "text") -> list[Rule]:
     ]
 
 
-def order_rules(rows: DataFrame, rules: list[Rule], sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """(rule, cost in seconds, rejected share) by falling rejection per cost, from a bounded sample."""
-    total = rows.count()
+def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = 2000, seed: int = 7) -> list[tuple[Rule, float, float]]:
+    """(rule, cost in seconds, rejected share) by falling rejection per cost, from a bounded sample of the texts."""
+    texts = docs.select(text_col)
+    total = texts.count()
     if not total:
         return [(r, 0.0, 0.0) for r in rules]
-    sample = rows.sample(min(1.0, sample_rows / total), seed).limit(4 * sample_rows).persist()
+    sample = with_statistics(texts.sample(min(1.0, sample_rows / total), seed).limit(4 * sample_rows), text_col).persist()
     try:
         shares = sample.agg(*[F.avg(F.coalesce(r.rejects, F.lit(False)).cast("int")).alias(f"r{i}") for i, r in enumerate(rules)]).first()
 
@@ -156,8 +159,8 @@ def verdict(ordered: list[Rule]) -> Column:
 def apply_rules(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """Add the statistics, base_failed and kept to every row."""
     rules = default_rules(text_col) if rules is None else rules
-    columns = with_statistics(docs, text_col)
-    ordered = [r for r, _, _ in order_rules(with_statistics(docs.select(text_col), text_col), rules, sample_rows)]
+    columns = with_statistics(docs.select(*aside(docs, RESULTS)), text_col)
+    ordered = [r for r, _, _ in order_rules(docs, rules, text_col, sample_rows)]
     failed = base_failed()
     return columns.withColumn("base_failed", failed).withColumn(
         "kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict(ordered))
