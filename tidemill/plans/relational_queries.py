@@ -179,12 +179,47 @@ def recurrent_means(spark, sf_dir):
     return W.rounded(df.select("symbol", "ts", "ema", "rma", "atr"), 6)
 
 
-@query("recurrent_indicators")
+_WILDER, _EMA = (lambda before, x, n: f"{before} + ({x} - {before}) / {n}.0"), (lambda before, x, n: f"{before} + ({x} - {before}) * 2 / {n + 1}.0")
+
+#: All that recurs, row by row: each step of the recursion sees the state of the bar before.
+RECURRENT = f"""b AS (SELECT symbol, ts, open, high, low, close, row_number() OVER w - 1 AS k, lead(close) OVER w AS next_close, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1,
+    coalesce(lag(high, 2) OVER w, lag(high) OVER w) AS h2, coalesce(lag(low, 2) OVER w, lag(low) OVER w) AS l2, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr,
+    CASE WHEN high - lag(high) OVER w > lag(low) OVER w - low AND high > lag(high) OVER w THEN high - lag(high) OVER w ELSE 0 END AS dp,
+    CASE WHEN lag(low) OVER w - low > high - lag(high) OVER w AND low < lag(low) OVER w THEN lag(low) OVER w - low ELSE 0 END AS dm FROM bars WINDOW w AS ({SERIES_SQL})),
+s AS (SELECT symbol, k, close AS e12, close AS e26, NULL::DOUBLE AS sig, NULL::DOUBLE AS up, NULL::DOUBLE AS down, tr AS a14, dp AS p14, dm AS m14, 0.0::DOUBLE AS plus, 0.0::DOUBLE AS minus, 0.0::DOUBLE AS dx,
+    close AS e1, NULL::DOUBLE AS e2, NULL::DOUBLE AS e3, close AS e20, tr AS a10, (open + close) / 2 AS ha, (open + high + low + close) / 4 AS hc,
+    NULL::DOUBLE AS su, NULL::DOUBLE AS sl, NULL::DOUBLE AS way, next_close >= close AS rising, CASE WHEN next_close >= close THEN low WHEN next_close < close THEN high END AS sar,
+    CASE WHEN next_close >= close THEN high ELSE low END AS extreme, 0.02::DOUBLE AS pace FROM b WHERE k = 0
+  UNION ALL
+  SELECT symbol, k, e12, e26, sig, up, down, a14, p14, m14, plus, minus, dx + (CASE WHEN plus + minus <> 0 THEN 100 * abs(plus - minus) / (plus + minus) ELSE 0 END - dx) / 14.0, e1, e2, e3, e20, a10, ha, hc,
+    su, sl, CASE WHEN k < 9 THEN NULL WHEN way IS NULL THEN 1.0 WHEN close > su0 THEN 1.0 WHEN close < sl0 THEN -1.0 ELSE way END,
+    CASE WHEN rising THEN NOT low < sar ELSE high > sar END, CASE WHEN rising AND low < sar OR NOT rising AND high > sar THEN extreme ELSE sar END,
+    CASE WHEN rising AND low < sar THEN low WHEN NOT rising AND high > sar THEN high WHEN rising THEN greatest(extreme, high) ELSE least(extreme, low) END,
+    CASE WHEN rising AND low < sar OR NOT rising AND high > sar THEN 0.02 WHEN rising AND high > extreme OR NOT rising AND low < extreme THEN least(0.2, pace + 0.02) ELSE pace END
+  FROM (SELECT *, CASE WHEN k >= 9 THEN CASE WHEN su0 IS NULL OR mid + 3 * a10 < su0 OR c1 > su0 THEN mid + 3 * a10 ELSE su0 END END AS su, CASE WHEN k >= 9 THEN CASE WHEN sl0 IS NULL OR mid - 3 * a10 > sl0 OR c1 < sl0 THEN mid - 3 * a10 ELSE sl0 END END AS sl,
+      CASE WHEN k >= 13 AND a14 <> 0 THEN 100 * p14 / a14 ELSE 0 END AS plus, CASE WHEN k >= 13 AND a14 <> 0 THEN 100 * m14 / a14 ELSE 0 END AS minus,
+      CASE WHEN rising THEN least(sar0, l1, l2) ELSE greatest(sar0, h1, h2) END AS sar, CASE WHEN k = 9 THEN e1 WHEN k > 9 THEN {_EMA('e2_0', 'e1', 10)} END AS e2,
+      CASE WHEN k = 18 THEN {_EMA('e2_0', 'e1', 10)} WHEN k > 18 THEN {_EMA('e3_0', f"({_EMA('e2_0', 'e1', 10)})", 10)} END AS e3, CASE WHEN k = 25 THEN e12 - e26 WHEN k > 25 THEN {_EMA('sig0', '(e12 - e26)', 9)} END AS sig
+    FROM (SELECT b.symbol, b.k, b.high, b.low, b.close, c1, h1, l1, h2, l2, (b.high + b.low) / 2 AS mid, {_EMA('e12', 'b.close', 12)} AS e12, {_EMA('e26', 'b.close', 26)} AS e26, sig AS sig0,
+        CASE WHEN up IS NULL THEN greatest(b.close - c1, 0) ELSE {_WILDER('up', 'greatest(b.close - c1, 0)', 14)} END AS up, CASE WHEN down IS NULL THEN greatest(c1 - b.close, 0) ELSE {_WILDER('down', 'greatest(c1 - b.close, 0)', 14)} END AS down,
+        {_WILDER('a14', 'b.tr', 14)} AS a14, {_WILDER('p14', 'b.dp', 14)} AS p14, {_WILDER('m14', 'b.dm', 14)} AS m14, dx, {_EMA('e1', 'b.close', 10)} AS e1, e2 AS e2_0, e3 AS e3_0, {_EMA('e20', 'b.close', 20)} AS e20, {_WILDER('a10', 'b.tr', 10)} AS a10,
+        (ha + hc) / 2 AS ha, (b.open + b.high + b.low + b.close) / 4 AS hc, su AS su0, sl AS sl0, way, rising, sar + pace * (extreme - sar) AS sar0, extreme, pace FROM s JOIN b ON b.symbol = s.symbol AND b.k = s.k + 1))),
+o AS (SELECT b.*, s.* EXCLUDE (symbol, k), CASE WHEN b.k >= 14 THEN CASE WHEN down = 0 THEN CASE WHEN up > 0 THEN 100.0 ELSE 0.0 END ELSE 100 - 100 / (1 + up / down) END END AS rsi FROM b JOIN s ON s.symbol = b.symbol AND s.k = b.k),
+f AS (SELECT *, 100 * coalesce((rsi - {g('min(rsi)', 'rsi', 14)}) / nullif({g('max(rsi)', 'rsi', 14)} - {g('min(rsi)', 'rsi', 14)}, 0), 0.5) AS fast FROM o), h AS (SELECT *, {g('avg(fast)', 'fast', 3)} AS sk FROM f)"""
+
+
+@query("recurrent_indicators", f"""WITH RECURSIVE {BARS_SQL}, {RECURRENT}
+SELECT symbol, ts, {', '.join(r(x, name, 5) for name, x in {
+    'ema': 'CASE WHEN k >= 19 THEN e20 END', 'rsi': 'rsi', 'macd': 'CASE WHEN k >= 25 THEN e12 - e26 END', 'macd_signal': 'CASE WHEN k >= 33 THEN sig END', 'macd_hist': 'CASE WHEN k >= 33 THEN e12 - e26 - sig END',
+    'adx': 'CASE WHEN k >= 13 THEN dx END', 'plus_di': 'plus', 'minus_di': 'minus', 'dema': 'CASE WHEN k >= 18 THEN 2 * e1 - e2 END', 'tema': 'CASE WHEN k >= 27 THEN 3 * e1 - 3 * e2 + e3 END',
+    'trix': f"CASE WHEN k >= 28 THEN 1e4 * coalesce((e3 - {lag('e3')}) / nullif({lag('e3')}, 0), 0) ELSE 0 END", 'kc_upper': 'CASE WHEN k >= 19 THEN e20 + 2 * a10 END', 'kc_middle': 'CASE WHEN k >= 19 THEN e20 END', 'kc_lower': 'CASE WHEN k >= 19 THEN e20 - 2 * a10 END',
+    'stochrsi_k': 'sk', 'stochrsi_d': g('avg(sk)', 'sk', 3), 'ha_open': 'ha', 'ha_high': 'greatest(high, ha, hc)', 'ha_low': 'least(low, ha, hc)', 'ha_close': 'hc',
+    'supertrend': 'CASE WHEN way > 0 THEN sl WHEN way < 0 THEN su END', 'supertrend_dir': 'way', 'psar': 'sar'}.items())} FROM h""")
 def recurrent_indicators(spark, sf_dir):
-    """All that recurs, in one grouped pass; the tests hold it against plain loops."""
-    wanted = {k: {} for k in recurrences.KERNELS}
+    """All that recurs, in one grouped pass."""
+    wanted = {k: {} for k in recurrences.KERNELS if k not in ("wilder_mean", "atr")}
     df = recurrences.recur(hourly(spark, sf_dir), wanted)
-    return W.rounded(df.select("symbol", "ts", *[o for k in wanted for o in recurrences.KERNELS[k][0]]), 6)
+    return W.rounded(df.select("symbol", "ts", *[o for k in wanted for o in recurrences.KERNELS[k][0]]), 5)
 
 
 @query("volume_bars")
