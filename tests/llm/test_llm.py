@@ -238,6 +238,26 @@ def test_mixing_odd(odd, none):
     assert mixing.mix_documents(odd).columns == odd.columns
 
 
+def test_dual_equals_bisection(spark):
+    """The multiplier of each source from the definition: sum of n * size * min(cap, exp(lam * size / mean)) is the target."""
+    rng = np.random.default_rng(2)
+    rows = [(key, int(size), int(rng.integers(1, 9))) for key in "abc" for size in rng.choice(np.arange(1, 400), 12, replace=False)]
+    total = {key: sum(s * n for k, s, n in rows if k == key) for key in "abc"}
+    wanted = {"a": 0.4, "b": 1.7, "c": 1.01}
+    got = {r.key: r for r in mixing.solve_dual(
+        spark.createDataFrame(rows, "key string, size long, n long"),
+        spark.createDataFrame([(k, total[k], total[k] * w) for k, w in wanted.items()], "key string, source_size long, target double"), 2.0).collect()}
+    for key, share in wanted.items():
+        own = [(s, n) for k, s, n in rows if k == key]
+        mean = sum(s * n for s, n in own) / sum(n for _, n in own)
+        low, high = -1e4, 1e4
+        for _ in range(200):
+            lam = (low + high) / 2
+            tokens = sum(n * s * min(2.0, np.exp(min(50, lam * s / mean))) for s, n in own)
+            low, high = (lam, high) if tokens < share * total[key] else (low, lam)
+        assert abs(got[key].mean - mean) < 1e-9 and abs(got[key].lam - lam) < 1e-5
+
+
 # 5 rules
 
 
@@ -258,6 +278,52 @@ def test_rules_odd(odd, none):
 # 6 classifier
 
 
+def test_passages_hold_their_own_words():
+    """Words of a passage by the byte that they start at, for texts of several passages."""
+    random.seed(9)
+    texts = [" ".join(random.choice(["aa", "b", "ccc", "word", "é"]) for _ in range(n)) for n in (900, 0, 3, 400)] + ["x" * 3000, None]
+    x, counts = quality_model.passages(texts)
+    at = 0
+    for text, n in zip(texts, counts, strict=True):
+        raw = (text or "").encode()
+        for k in range(n):
+            starts = [i for i in range(k * quality_model.PASSAGE, min(len(raw), (k + 1) * quality_model.PASSAGE)) if raw[i : i + 1] != b" " and (i == 0 or raw[i - 1 : i] == b" ")]
+            size = min(len(raw), (k + 1) * quality_model.PASSAGE) - k * quality_model.PASSAGE
+            assert abs(x[at + k, -3] - len(starts) / size) < 1e-6
+        at += n
+    assert at == len(x)
+
+
+def test_attention_equals_plain_loops_and_gradients_are_right():
+    rng = np.random.default_rng(5)
+    counts, labels = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0])
+    starts, x = np.array([0, 3, 4]), rng.normal(size=(8, 5))
+    model = quality_model.Model(np.zeros(5), np.ones(5), quality_model.drawn(5, 4, 3, 1))
+    p = model.weights
+    want = []
+    for a, n in zip(starts, counts, strict=True):
+        h = [np.tanh(v @ p["W"] + p["b"]) for v in x[a : a + n]]
+        e = np.array([np.sum(p["w"] * np.tanh(v @ p["V"]) / (1 + np.exp(-(v @ p["U"])))) for v in h])
+        e = np.exp(e) / np.exp(e).sum()
+        want.append(1 / (1 + np.exp(-(sum(w * v for w, v in zip(e, h, strict=True)) @ p["c"] + p["d"][0]))))
+    assert np.allclose(model.forward(x, starts, counts)["y"], want)
+
+    def loss():
+        y = model.forward(x, starts, counts)["y"]
+        return -np.mean(labels * np.log(y) + (1 - labels) * np.log(1 - y))
+
+    for k, g in quality_model.gradients(model, x, starts, counts, labels).items():
+        flat, grad = p[k].reshape(-1), np.asarray(g).reshape(-1)
+        for i in rng.integers(0, len(flat), 4):
+            before = flat[i]
+            flat[i] = before + 1e-6
+            up = loss()
+            flat[i] = before - 1e-6
+            down = loss()
+            flat[i] = before
+            assert abs((up - down) / 2e-6 - grad[i]) < 1e-6
+
+
 def test_classifier_held_out(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
@@ -384,6 +450,33 @@ def test_packing_odd(odd, none):
     assert packing.pack_documents(none, packing.default_tokenizer()).count() == 0
 
 
+def test_bin_completion_equals_exhaustive_search():
+    def least(lengths, room):
+        """Fewest bins by trying every bin for every piece, largest first."""
+        best = [len(lengths)]
+
+        def place(k, bins):
+            if len(bins) >= best[0]:
+                return
+            if k == len(lengths):
+                best[0] = len(bins)
+                return
+            for b in {r: i for i, r in enumerate(bins) if r >= lengths[k]}.values():
+                place(k + 1, [*bins[:b], bins[b] - lengths[k], *bins[b + 1 :]])
+            place(k + 1, [*bins, room - lengths[k]])
+
+        place(0, [])
+        return best[0]
+
+    random.seed(12)
+    for _ in range(60):
+        room = random.choice([10, 20, 37])
+        lengths = sorted((random.randint(1, room) for _ in range(random.randint(1, 11))), reverse=True)
+        patterns, lower = packing.bin_completion(dict(Counter(lengths)), room)
+        assert sorted((x for items, n in patterns for x in items * n), reverse=True) == lengths and all(sum(items) <= room for items, _ in patterns)
+        assert lower <= sum(n for _, n in patterns) == least(lengths, room)
+
+
 # 10 personal data
 
 

@@ -17,11 +17,13 @@ BROADCAST_BYTES = 32 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of the session; a private one only where none is set (tests)."""
+    """Use the shared folder of the session; a private one only in a local session (tests) that names none."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemill-checkpoint-"))
 
 

@@ -279,7 +279,10 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, width: int
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to a table of pieces (id, piece, length)."""
-    rows = cut(rows.withColumn("_part", F.pmod(F.xxhash64(F.col("id").cast("string"), "piece"), F.lit(PARTS)).cast("int")))
+    every = cut(rows)
+    # a full piece is a sequence of its own; numbers below 0 are theirs
+    full = every.filter(F.col("length") == capacity).select("id", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rows = every.filter(F.col("length") < capacity).withColumn("_part", F.pmod(F.xxhash64(F.col("id").cast("string"), "piece"), F.lit(PARTS)).cast("int"))
     histogram = cut(rows.groupBy("length", "_part").agg(F.count("*").alias("n")))
     counts = {r[0]: r[1] for r in histogram.groupBy("length").agg(F.sum("n")).collect()}
     patterns, _ = bin_completion(counts, capacity)
@@ -311,12 +314,13 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = histogram.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     within = Window.partitionBy("length", "_part").orderBy(F.xxhash64(F.col("id").cast("string"), "piece"), "id", "piece")
-    return (
+    placed = (
         rows.withColumn("_rank", F.row_number().over(within) - 1)
         .join(F.broadcast(starts), ["length", "_part"])  # at most capacity * PARTS rows
         .withColumn("_place", place(F.col("length"), F.col("_before") + F.col("_rank")))
         .select("id", "piece", "start", "length", "ids_crc32", "_place.sequence_id", "_place.offset")
     )
+    return placed.union(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

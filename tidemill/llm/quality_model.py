@@ -26,8 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import held_out
-from tidemill.llm.textvec import CHUNK_BYTES, words_of
+from tidemill.llm.common import aside, held_out
+from tidemill.llm.textvec import CHUNK_BYTES, placed_words
 
 PASSAGE = 600
 BUCKETS = 64
@@ -59,12 +59,8 @@ def passages(texts: list) -> tuple[np.ndarray, np.ndarray]:
     pair = kinds * CLASSES + np.concatenate((kinds[1:], [0]))
     size = np.bincount(passage, minlength=total).astype(np.float32)
     shape = np.bincount(passage * CLASSES**2 + pair, minlength=total * CLASSES**2).reshape(total, -1) / size[:, None]
-    hashes, bounds = words_of(texts)
-    per_text = np.diff(bounds)
-    of_text = np.repeat(np.arange(len(texts)), per_text)
-    # a word counts in the passage that stands at its share of the text's words
-    rank = np.arange(len(hashes)) - np.repeat(bounds[:-1], per_text)
-    at = first[of_text] + rank * counts[of_text] // np.maximum(per_text[of_text], 1)
+    hashes, bounds, byte = placed_words(texts)
+    at = np.repeat(first, np.diff(bounds)) + byte // PASSAGE  # a word belongs to the passage that it starts in
     bucket = (hashes >> np.uint64(58)).astype(np.int64)
     words = np.bincount(at, minlength=total).astype(np.float32)
     bags = np.bincount(at * BUCKETS + bucket, minlength=total * BUCKETS).reshape(total, -1) / np.maximum(words, 1)[:, None]
@@ -110,33 +106,40 @@ class Model:
         return out
 
 
-def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 12, gate: int = 6, rounds: int = 250, rate: float = 0.02, decay: float = 1e-3, seed: int = 3) -> Model:
-    """Adam on the logistic loss of whole documents; gradients are written out by hand."""
+def gradients(model: Model, x: np.ndarray, starts: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Derivatives of the mean logistic loss of whole documents by all weights."""
+    p, f = model.weights, model.forward(x, starts, counts)
+    dy = (f["y"] - labels) / len(labels)
+    dz = np.repeat(dy[:, None] * p["c"], counts, axis=0)
+    da = (dz * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), counts))
+    dgate = de[:, None] * p["w"]
+    dt, dg = dgate * f["g"] * (1 - f["t"] ** 2), dgate * f["t"] * f["g"] * (1 - f["g"])
+    dh = f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T
+    dx = dh * (1 - f["h"] ** 2)
+    return {"W": x.T @ dx, "b": dx.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": de @ (f["t"] * f["g"]), "c": f["z"].T @ dy, "d": np.array([dy.sum()])}
+
+
+def drawn(features: int, hidden: int, gate: int, seed: int) -> dict[str, np.ndarray]:
+    """First weights."""
     rng = np.random.default_rng(seed)
+    draw = lambda n, m: rng.normal(0, n**-0.5, (n, m))
+    return {"W": draw(features, hidden), "b": np.zeros(hidden), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)}
+
+
+def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 12, gate: int = 6, rounds: int = 250, rate: float = 0.02, decay: float = 1e-3, seed: int = 3) -> Model:
+    """Adam on the logistic loss of whole documents."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     x = np.clip((x - mean) / scale, -8, 8)
-    draw = lambda n, m: rng.normal(0, n**-0.5, (n, m))
-    p = {"W": draw(x.shape[1], hidden), "b": np.zeros(hidden), "V": draw(hidden, gate), "U": draw(hidden, gate), "w": rng.normal(0, 0.3, gate), "c": rng.normal(0, 0.3, hidden), "d": np.zeros(1)}
-    model = Model(mean, scale, p)
+    model = Model(mean, scale, drawn(x.shape[1], hidden, gate, seed))
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
     for step in range(1, rounds + 1):
-        f = model.forward(x, starts, counts)
-        dy = (f["y"] - labels) / len(labels)
-        dz = np.repeat(dy[:, None] * p["c"], counts, axis=0)
-        da = (dz * f["h"]).sum(axis=1)
-        de = f["a"] * (da - np.repeat(np.add.reduceat(f["a"] * da, starts), counts))
-        dgate = de[:, None] * p["w"]
-        dt, dg = dgate * f["g"] * (1 - f["t"] ** 2), dgate * f["t"] * f["g"] * (1 - f["g"])
-        dh = f["a"][:, None] * dz + dt @ p["V"].T + dg @ p["U"].T
-        dx = dh * (1 - f["h"] ** 2)
-        grads = {"W": x.T @ dx, "b": dx.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "w": de @ (f["t"] * f["g"]), "c": f["z"].T @ dy, "d": np.array([dy.sum()])}
-        for k, g in grads.items():
-            g = g + decay * p[k] * (k not in "bd")
+        for k, g in gradients(model, x, starts, counts, labels).items():
+            g = g + decay * model.weights[k] * (k not in "bd")
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
-            p[k] = p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        model.weights = p
+            model.weights[k] = model.weights[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
@@ -157,11 +160,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                     x = x[np.unique(np.linspace(0, len(x) - 1, fit_passages).round().astype(int))]
                     yield pd.DataFrame({"id": [batch["id"].iloc[i]], "label": [batch["label"].iloc[i]], "x": [x.tobytes()], "n": [len(x)]})
 
-    # at most fit_docs rows: a bounded broadcast, and a bounded result
+    # at most fit_docs ids: a bounded broadcast, and a bounded result; of rows with one id the least text is taken
     found = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-        .select(F.col("id").cast("string").alias("id"), "text", F.col("label").cast("int").alias("label"))
-        .mapInPandas(run, schema).limit(2 * fit_docs).toPandas().sort_values(["id", "n", "label"])
+        .groupBy(F.col("id").cast("string").alias("id"), F.col("label").cast("int").alias("label")).agg(F.min("text").alias("text"))
+        .select("id", "text", "label").mapInPandas(run, schema).toPandas().sort_values(["id", "n", "label"])
     )
     if found.empty:
         return None
@@ -184,7 +187,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
             at = end
         return pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    return docs.withColumn(out_col, F.lit(1.0) if model is None else of(F.col(text_col)))
+    return docs.select(*aside(docs, (out_col,)), (F.lit(1.0) if model is None else of(F.col(text_col))).alias(out_col))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

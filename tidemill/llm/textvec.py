@@ -59,11 +59,11 @@ def chunks(texts: list) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in turn, and where each text's words start (one more at the end)."""
+def placed_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in turn, where each text's words start (one more at the end), and each word's byte in its text."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = np.frombuffer((b" ".join(raw) + b" ").translate(LOWER), np.uint8)
-    ends_of_text = np.cumsum([len(r) + 1 for r in raw])
+    ends_of_text = np.cumsum([len(r) + 1 for r in raw], dtype=np.int64)
     space = IS_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
@@ -71,7 +71,13 @@ def words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * POWERS.up[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * POWERS.down[starts])
-    return hashes, np.concatenate(([0], np.searchsorted(starts, ends_of_text)))
+    bounds = np.concatenate(([0], np.searchsorted(starts, ends_of_text)))
+    return hashes, bounds, starts - np.repeat(np.concatenate(([0], ends_of_text[:-1])), np.diff(bounds)) if len(texts) else starts
+
+
+def words_of(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts in turn, and where each text's words start (one more at the end)."""
+    return placed_words(texts)[:2]
 
 
 def shingles_of(hashes: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:

@@ -133,7 +133,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, slice_queries: int =
     sampled = matrix(sample, dims)
     blocks = cut(build_blocks(rows, sampled[:PIVOTS], dims))
     slices = max(1, -(-queries.count() // slice_queries))
-    found = None
+    found, place = None, F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     for s in range(slices):
         got = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).distinct().collect()
         ids, q = np.array([r["vec_id"] for r in got], np.int64), matrix([r["v"] for r in got], dims)
@@ -152,10 +152,11 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 20, slice_queries: int =
                     search_blocks(q, ids, parts, best)
             yield pd.DataFrame({"query_id": ids[best.rows[0]], "vec_id": best.rows[2], "score": best.rows[1]})
 
-        part = blocks.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint")
+        part = blocks.mapInPandas(run, "query_id bigint, vec_id bigint, score bigint").withColumn("rank", place).filter(F.col("rank") <= k)
+        part = cut(part.select("query_id", "rank", "vec_id", "score"))  # written before the next slice is taken up
+        shared.destroy()
         found = part if found is None else found.union(part)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
 
 
 def query(spark, sf_dir: str) -> DataFrame:
