@@ -21,6 +21,14 @@ def instant() -> WindowSpec:
     return Window.partitionBy("ts")
 
 
+def rank_share(v: Column) -> Column:
+    """Average rank among the values of the instant, as a share of their number; all by one sort."""
+    by_value = instant().orderBy(v.asc_nulls_last())
+    ties = F.count(v).over(by_value.rangeBetween(Window.currentRow, Window.currentRow))
+    number = F.count(v).over(by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return F.when(v.isNotNull(), (F.rank().over(by_value) + (ties - 1) / 2) / number)
+
+
 class Node:
     """An operator, its inputs and the partitioning that it needs (None: row by row)."""
 
@@ -98,12 +106,7 @@ def along(name: str, inputs: list, f: Callable[..., Column]) -> Node:
 def rank(x) -> Node:
     """Average rank among the values of the instant, as a share of their number."""
 
-    def f(v: Column) -> Column:
-        by_value = instant().orderBy(v.asc_nulls_last())
-        ties = F.count(v).over(Window.partitionBy("ts", v))
-        return F.when(v.isNotNull(), (F.rank().over(by_value) + (ties - 1) / 2) / F.count(v).over(instant()))
-
-    return across("rank", x, f)
+    return across("rank", x, rank_share)
 
 
 def scale(x, a: float = 1.0) -> Node:
@@ -276,7 +279,7 @@ def inputs_of(df: DataFrame) -> tuple[DataFrame, dict]:
     return df, names | operators | {"adv": adv, "abs": abs_, "cap": delay(adv(30), 1)}
 
 
-# Formulas of the paper "101 Formulaic Alphas" (2015), in its notation.
+# Formulas of the paper "101 Formulaic Alphas" (2015), with the operators above.
 FORMULAS = {
     1: "rank(ts_argmax(power(choose(returns < 0, ts_std(returns, 20), close), 2.0), 5)) - 0.5",
     2: "-1 * correlation(rank(delta(log(volume), 2)), rank((close - open) / open), 6)",
@@ -405,9 +408,7 @@ def standardised(x: str) -> Column:
 
 
 def pct_rank(x: str) -> Column:
-    v = F.col(x)
-    ties = F.count(v).over(Window.partitionBy("ts", x))
-    return F.when(v.isNotNull(), (F.rank().over(instant().orderBy(v.asc_nulls_last())) + (ties - 1) / 2) / F.count(v).over(instant()))
+    return rank_share(F.col(x))
 
 
 def forward_return(df: DataFrame, horizon: int = 1, out: str = "target") -> DataFrame:
