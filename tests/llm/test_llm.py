@@ -444,6 +444,16 @@ def test_bin_completion_beats_best_fit():
     assert dict(used) == counts and sum(n for _, n in patterns) <= sum(n for _, n in packing.best_fit(counts, 10))
 
 
+def test_encoder_goes_when_idle():
+    path = packing.default_tokenizer()
+    with packing.encoder_of(path, 0.2) as first:
+        assert len(next(packing.encoded(first, ["one two"]))) > 0
+    with packing.encoder_of(path, 0.2) as second:
+        assert second is first
+    packing._leaving[path].join()
+    assert path not in packing._encoders
+
+
 def test_packing_odd(odd, none):
     got = packing.pack_documents(odd, packing.default_tokenizer())
     assert got.filter("doc_id in (0, 1) and length != 1").isEmpty() and got.select("doc_id", "piece").distinct().count() >= 11

@@ -20,7 +20,8 @@ import os
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
+from threading import Timer
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ CAPACITY = 2048
 PARTS = 64
 #: Marks that often end a chunk; the tokenizer parts them from the letters before.
 MARKS = ".,"
+#: Seconds without a task after which a worker gives up its encoder.
+IDLE_SECONDS = 5.0
 
 
 class ChunkEncoder:
@@ -94,10 +97,26 @@ class ChunkEncoder:
         return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in split]
 
 
-@lru_cache(maxsize=2)
-def encoder_of(path: str) -> ChunkEncoder:
-    """One encoder per worker process."""
-    return ChunkEncoder(path)
+_encoders: dict[str, ChunkEncoder] = {}
+_leaving: dict[str, Timer] = {}
+
+
+@contextmanager
+def encoder_of(path: str, idle: float = IDLE_SECONDS) -> Iterator[ChunkEncoder]:
+    """The encoder of a worker process, which goes from task to task.
+
+    Workers live on after the stage: what an encoder remembers is given up once no task has used it
+    for `idle` seconds, so that it does not take the memory of the stages behind.
+    """
+    if waiting := _leaving.pop(path, None):
+        waiting.cancel()
+    encoder = _encoders[path] = _encoders.get(path) or ChunkEncoder(path)
+    try:
+        yield encoder
+    finally:
+        _leaving[path] = timer = Timer(idle, _encoders.pop, (path, None))
+        timer.daemon = True
+        timer.start()
 
 
 def encoded(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -117,19 +136,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = f"id {chosen.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = encoder_of(tokenizer_path)
-        for batch in batches:
-            rows, piece, start, length, crc = [], [], [], [], []
-            for i, ids in enumerate(encoded(encoder, batch["text"].tolist())):
-                ids = np.append(ids, np.array([end_id], "<u4"))
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    rows.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-            yield pd.DataFrame({"id": batch["id"].iloc[rows].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+        with encoder_of(tokenizer_path) as encoder:
+            for batch in batches:
+                rows, piece, start, length, crc = [], [], [], [], []
+                for i, ids in enumerate(encoded(encoder, batch["text"].tolist())):
+                    ids = np.append(ids, np.array([end_id], "<u4"))
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        rows.append(i)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part.tobytes()))
+                yield pd.DataFrame({"id": batch["id"].iloc[rows].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     return chosen.mapInPandas(run, schema)
 
