@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from contextlib import contextmanager
 from threading import Timer
@@ -185,11 +185,10 @@ def dominated(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """True if the items of a fit into those of b, so that b is as good (greedy test)."""
     rooms = sorted(b)
     for x in sorted(a, reverse=True):
-        k = next((i for i, r in enumerate(rooms) if r >= x), None)
-        if k is None:
+        k = bisect_left(rooms, x)
+        if k == len(rooms):
             return False
-        rooms[k] -= x
-        rooms.sort()
+        insort(rooms, rooms.pop(k) - x)
     return True
 
 
