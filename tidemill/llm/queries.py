@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, suffix_dedup, topk
+from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, suffix_dedup, topk, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.query,
     "op9_packing": packing.query,
     "op10_personal_data": personal_data.query,
+    "op11_warc": warc.query,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op5_quality_rules": quality_rules.SQL,
     "op7_topk": topk.SQL,
     "op8_minhash": minhash.SQL,
+    "op11_warc": warc.SQL,
 }
