@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tidemill.llm import language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, suffix_dedup, topk, warc
+from tidemill.llm import (
+    divergence, language_id, line_dedup, minhash, mixing, packing, personal_data, quality_model, quality_rules, spelling, suffix_dedup, topk, warc,
+)
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +18,8 @@ QUERIES = {
     "op9_packing": packing.query,
     "op10_personal_data": personal_data.query,
     "op11_warc": warc.query,
+    "op12_divergence": divergence.query,
+    "op13_spelling": spelling.query,
 }
 
 SQL = {
@@ -24,4 +28,5 @@ SQL = {
     "op7_topk": topk.SQL,
     "op8_minhash": minhash.SQL,
     "op11_warc": warc.SQL,
+    "op12_divergence": divergence.SQL,
 }
