@@ -22,14 +22,15 @@ like a result stays under its name with `_input` behind it.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import aside, held_out, small
+from tidemill.llm.common import aside, cut, held_out, small
 
 SAMPLE_DOCS, SAMPLE_CHARS = 64, 600
 #: Characters of a piece, characters that are parsed side by side, and rounds after which a text is parsed alone.
@@ -277,22 +278,32 @@ class Identifier:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Identifier:
     """Samples from labelled rows outside the held-out fold; the driver gets the bounded sample only.
 
-    A first aggregation counts rows by language; the rows are then thinned by hash to about twice
-    what is needed, so that no language is gathered whole anywhere.
+    The sample of a language is its `sample_docs` distinct (id, text) of least hash. Tasks keep that many
+    hashes for each language; the largest of the least ones is the bound of a second pass, which
+    takes one piece of text for each hash. No language is gathered whole anywhere.
     """
-    text = F.col(text_col)
-    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(id_col)))
-    hashed = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")), F.lit(1 << 30)) / float(1 << 30)
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg((2.0 * sample_docs / F.count("*")).alias("_share"))
-    place = 1 + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("place")), F.greatest(F.lit(1), F.length(text) - sample_chars + 1))
-    thin = (
-        rows.select(F.col(lang_col).alias("lang"), text.alias("text"), place.cast("int").alias("place"), hashed.alias("_h"))
-        .join(small(counts), "lang").filter("_h < _share")
-        .select("lang", "_h", F.substring("text", F.col("place"), F.lit(sample_chars)).alias("text"))
-        .groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("_h", "text"))), 1, sample_docs).alias("texts"))
-        .select("lang", "texts.text")
-    )
-    return Identifier({r["lang"]: np.concatenate([letters(t) for t in r["text"]] or [np.zeros(0, np.uint32)]) for r in thin.collect()})
+    text, own = F.col(text_col), F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    hashed = F.xxhash64(own, text)
+    place = 1 + F.pmod(F.xxhash64(own, text, F.lit("place")), F.greatest(F.lit(1), F.length(text) - sample_chars + 1))
+    rows = docs.filter(F.col(lang_col).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(id_col))).select(F.col(lang_col).cast("string").alias("lang"), hashed.alias("h"), text.alias("text"), place.cast("int").alias("place"))
+
+    def least(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, part in batch.groupby("lang")["h"]:
+                found[lang] = np.unique(np.concatenate((found.get(lang, np.zeros(0, np.int64)), part.to_numpy(np.int64))))[:sample_docs]
+        for lang, h in found.items():
+            yield pd.DataFrame({"lang": lang, "h": h})
+
+    by_hash = Window.partitionBy("lang").orderBy("h")
+    ranked = rows.select("lang", "h").mapInPandas(least, "lang string, h bigint").distinct().withColumn("rank", F.row_number().over(by_hash))
+    bounds = cut(ranked.filter(F.col("rank") <= sample_docs).groupBy("lang").agg(F.max("h").alias("bound")))
+    piece = F.substring("text", F.col("place"), F.lit(sample_chars))
+    chosen = rows.join(small(bounds), "lang").filter("h <= bound").groupBy("lang", "h").agg(F.min(piece).alias("text")).collect()
+    samples: dict[str, list[np.ndarray]] = {}
+    for r in sorted(chosen, key=lambda r: (r["lang"], r["h"])):
+        samples.setdefault(r["lang"], []).append(letters(r["text"]))
+    return Identifier({k: np.concatenate(v) for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Identifier, text_col: str = "text") -> DataFrame:
