@@ -7,10 +7,12 @@ passages of a document, and the weighted embedding is scored by a logistic outpu
 labels are given; weights of passages are learned from them.
 
 The model is fitted with numpy on a bounded sample: the `fit_docs` labelled documents of the
-training folds with the least hash of their id, and of each at most `fit_passages` passages, evenly
-spaced. Every document is then scored whole, in one pass without a shuffle.
+training folds with the least hash of their id, with all their passages. Every document is then scored
+whole, in one pass without a shuffle; of a long text a task holds the features of one run of passages
+and what attention needs of the others.
 
-Defined results: null and empty texts have score 0; if no labelled row can be learned from, every
+Defined results: null and empty texts have score 0; a text of more than `RUN` characters is encoded in
+runs of that size, a word between two of them counts in both; if no labelled row can be learned from, every
 score is 1 (nothing is rejected); rows with a null id are scored and count as not held out;
 repeated rows get equal scores; labels that are null, neither 0 nor 1, or contradict each other for
 one id are left out; extra columns are not looked at.
@@ -27,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import aside, held_out
-from tidemill.llm.textvec import CHUNK_BYTES, placed_words
+from tidemill.llm.textvec import chunks, placed_words
 
 PASSAGE = 600
 BUCKETS = 64
 THRESHOLD = 0.7
+#: Standardised features beyond this are taken for it.
+CLIP = 8.0
+#: Characters of a longer text that are taken up at once: runs have passages and words of their own.
+RUN = 1_000_000
 
 #: Classes of bytes: other, lower, upper, digit, blank, line end, sentence end, comma, quote, bracket, symbols, beyond ASCII.
 _CLASS = np.zeros(256, np.int64)
@@ -56,7 +62,9 @@ def passages(texts: list) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(data)) - np.repeat(begins, sizes)
     passage = np.repeat(first, sizes) + place // PASSAGE
     kinds = _CLASS[data]
-    pair = kinds * CLASSES + np.concatenate((kinds[1:], [0]))
+    behind = np.concatenate((kinds[1:], [0]))
+    behind[np.cumsum(sizes)[sizes > 0] - 1] = 0  # nothing stands behind a text
+    pair = kinds * CLASSES + behind
     size = np.bincount(passage, minlength=total).astype(np.float32)
     shape = np.bincount(passage * CLASSES**2 + pair, minlength=total * CLASSES**2).reshape(total, -1) / size[:, None]
     hashes, bounds, byte = placed_words(texts)
@@ -72,6 +80,13 @@ def passages(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.column_stack((shape, bags, words / size, repeated, size / PASSAGE)).astype(np.float32), counts
 
 
+def parts_of(texts: list, most: int = 0) -> tuple[list[str], np.ndarray]:
+    """The texts cut into runs of `most` (RUN) characters, and the text that each run belongs to."""
+    most = most or RUN
+    parts = [(t[k : k + most], i) for i, t in enumerate(texts) if t for k in range(0, len(t), most)]
+    return [p for p, _ in parts], np.array([i for _, i in parts], np.int64)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -84,25 +99,44 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """All values on the way for standardised passages x; texts have counts > 0 passages from starts on."""
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
+
+    def encoded(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Embeddings of standardised passages, both parts of the gate, and the attention before it is normalised."""
         p = self.weights
         h = np.tanh(x @ p["W"] + p["b"])
         t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        e = (t * g) @ p["w"]
+        return h, t, g, (t * g) @ p["w"]
+
+    def pooled(self, h: np.ndarray, e: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Attention weights, embeddings of the texts and their scores; texts have counts > 0 passages from starts on."""
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
         a = e / np.repeat(np.add.reduceat(e, starts), counts)
         z = np.add.reduceat(a[:, None] * h, starts)
-        return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": _sigmoid(z @ p["c"] + p["d"])}
+        return a, z, _sigmoid(z @ self.weights["c"] + self.weights["d"])
+
+    def forward(self, x: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """All values on the way for standardised passages x."""
+        h, t, g, e = self.encoded(x)
+        a, z, y = self.pooled(h, e, starts, counts)
+        return {"h": h, "t": t, "g": g, "a": a, "z": z, "y": y}
 
     def scores(self, texts: list) -> np.ndarray:
-        x, counts = passages(texts)
-        out = np.zeros(len(texts))
-        full = counts > 0
-        if full.any():
-            own = counts[full]
-            starts = np.concatenate(([0], np.cumsum(own)[:-1]))
-            out[full] = self.forward((x - self.mean) / self.scale, starts, own)["y"]
+        """Scores of texts; features are held for about CHUNK_BYTES characters at once."""
+        out, (parts, owner) = np.zeros(len(texts)), parts_of(texts)
+        if not parts:
+            return out
+        found, passages_of = [], np.zeros(len(texts), np.int64)
+        for a, b in chunks(parts):
+            x, counts = passages(parts[a:b])
+            h, _, _, e = self.encoded(self.standard(x))
+            found.append((h, e))
+            np.add.at(passages_of, owner[a:b], counts)
+        full = passages_of > 0
+        own = passages_of[full]
+        starts = np.concatenate(([0], np.cumsum(own)[:-1]))
+        out[full] = self.pooled(np.concatenate([h for h, _ in found]), np.concatenate([e for _, e in found]), starts, own)[2]
         return out
 
 
@@ -130,8 +164,8 @@ def drawn(features: int, hidden: int, gate: int, seed: int) -> dict[str, np.ndar
 def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 12, gate: int = 6, rounds: int = 250, rate: float = 0.02, decay: float = 1e-3, seed: int = 3) -> Model:
     """Adam on the logistic loss of whole documents."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.clip((x - mean) / scale, -8, 8)
     model = Model(mean, scale, drawn(x.shape[1], hidden, gate, seed))
+    x = model.standard(x)
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
     first, second = ({k: np.zeros_like(v) for k, v in model.weights.items()} for _ in range(2))
     for step in range(1, rounds + 1):
@@ -143,7 +177,7 @@ def fit(x: np.ndarray, counts: np.ndarray, labels: np.ndarray, hidden: int = 12,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = 3000, fit_passages: int = 32) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_docs: int = 3000) -> Model | None:
     """Fit on a bounded sample of the labelled documents outside the held-out fold."""
     chosen = (
         labels.filter(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)) & F.col(id_col).isNotNull())
@@ -155,9 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, text in enumerate(batch["text"]):
-                x, _ = passages([text])
+                x = np.concatenate([np.zeros((0, FEATURES), np.float32), *[passages([part])[0] for part in parts_of([text])[0]]])
                 if len(x):
-                    x = x[np.unique(np.linspace(0, len(x) - 1, fit_passages).round().astype(int))]
                     yield pd.DataFrame({"id": [batch["id"].iloc[i]], "label": [batch["label"].iloc[i]], "x": [x.tobytes()], "n": [len(x)]})
 
     # at most fit_docs ids: a bounded broadcast, and a bounded result; of rows with one id the least text is taken
@@ -177,15 +210,8 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
 
     @F.pandas_udf("double")
     def of(text: pd.Series) -> pd.Series:
-        texts, out, at = text.tolist(), [], 0
-        while at < len(texts):
-            end, held = at, 0
-            while end < len(texts) and held < CHUNK_BYTES:
-                held += len(texts[end] or "")
-                end += 1
-            out.append(model.scores(texts[at:end]))
-            at = end
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        texts = text.tolist()
+        return pd.Series(np.concatenate([np.zeros(0), *[model.scores(texts[a:b]) for a, b in chunks(texts)]]))
 
     return docs.select(*aside(docs, (out_col,)), (F.lit(1.0) if model is None else of(F.col(text_col))).alias(out_col))
 
