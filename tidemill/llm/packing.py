@@ -20,8 +20,7 @@ import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
-from contextlib import contextmanager
-from threading import Timer
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,8 +34,34 @@ CAPACITY = 2048
 PARTS = 64
 #: Marks that often end a chunk; the tokenizer parts them from the letters before.
 MARKS = ".,"
-#: Seconds without a task after which a worker gives up its encoder.
-IDLE_SECONDS = 5.0
+#: Bytes that a remembered string takes besides its characters and ids (two objects and a place in a table).
+ENTRY_BYTES = 200
+#: Texts on which the rules of `ChunkEncoder` are tried.
+PROBES = ("The quick, brown. Fox", "NAÏVE Straße.", "a  b\nc", "x1 3.14, (no) we'll e-mail 日本語, ok.", " lead and trail ", "ends,")
+
+
+class Memory:
+    """Bytes by string within a budget of bytes: what was not used for longest goes, half of all at once."""
+
+    def __init__(self, most_bytes: int) -> None:
+        self.most, self.size = most_bytes // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.size += sum(ENTRY_BYTES + len(k) + len(v) for k, v in found.items())
+
+    def unknown(self, wanted: set[str]) -> set[str]:
+        """Those that are not remembered; the others count as used now."""
+        wanted = wanted.difference(self.young)
+        back = {k: self.old[k] for k in wanted.intersection(self.old)}
+        self.add(back)
+        return wanted.difference(back)
+
+    def age(self) -> None:
+        if self.size > self.most:
+            self.old, self.young, self.size = self.young, {}, 0
 
 
 class ChunkEncoder:
@@ -45,88 +70,75 @@ class ChunkEncoder:
     The tokenizer splits at white space, and letters from other characters, before it merges
     anything, so that the ids of a text are those of its chunks in turn, and those of letters with
     a mark behind are those of both. New chunks of letters are encoded together, with a digit
-    between them.
+    between them. A tokenizer for which that does not hold on `PROBES` encodes whole texts instead.
     """
 
-    def __init__(self, path: str, most_chunks: int = 700_000, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_bytes: int = 64 << 20) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_chunks, self.most_words = Tokenizer.from_file(path), most_chunks, most_words
+        self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.marks = {m: self.alone(m) for m in MARKS}
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.chunks, self.words = Memory(most_bytes), Memory(most_bytes // 2)
+        self.whole = False
+        self.whole = any(self.encode([p])[0].tobytes() != self.alone(p) for p in PROBES)
 
     def alone(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, new: set[str]) -> None:
         """Add the ids of chunks: those of a word in lower case, and of a mark behind it."""
-        if len(self.chunks) > self.most_chunks:
-            self.chunks = {"": b""}
-        if len(self.words) > self.most_words:
-            self.words = {}
-        chunks, words, marks = self.chunks, self.words, self.marks
+        marks = self.marks
         parts = [(c, c[:-1].lower(), marks[c[-1]]) if c[-1] in marks else (c, c.lower(), b"") for c in new if c.isascii() and (c.isalpha() or c[:-1].isalpha())]
         other = new.difference([c for c, _, _ in parts])
         marked = [(c, c[:-1], marks[c[-1]]) if c[-1] in marks else (c, c, b"") for c in other]
         parts += [x for x in marked if x[1].isalpha() and len(x[1].lower()) == len(x[1]) and x[1].lower().isalpha()]
-        fresh = list({w for _, w, _ in parts}.difference(words))
+        fresh = list(self.words.unknown({w for _, w, _ in parts}))
         if len(self.between) == 1 and len(fresh) > 1:
             ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.between[0])
             if len(cuts) == len(fresh) - 1:
                 whole, at = ids.tobytes(), (np.concatenate(([-1], cuts, [len(ids)])) * 4).tolist()
-                words.update({w: whole[x + 4 : y] for w, x, y in zip(fresh, at, at[1:], strict=False)})
-        for w in fresh:
-            if w not in words:
-                words[w] = self.alone(w)
-        chunks.update({c: words[w] + m for c, w, m in parts})
-        chunks.update({c: self.alone(c) for c in other if c not in chunks})
+                self.words.add({w: whole[x + 4 : y] for w, x, y in zip(fresh, at, at[1:], strict=False)})
+        words = self.words.young
+        self.words.add({w: self.alone(w) for w in fresh if w not in words})
+        found = {c: words[w] + m for c, w, m in parts}
+        found.update({c: self.alone(c) for c in other if c not in found})
+        self.chunks.add(found)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; what is new in any of them is learned together."""
+        if self.whole:
+            return [np.frombuffer(self.alone(t), "<u4") for t in texts]
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        for _ in range(2):  # the memory may just have been emptied
-            new = set().union(*[set(own).difference(self.chunks) for own in split])
-            if not new:
-                break
+        new = self.chunks.unknown(set().union(*[set(own).difference(self.chunks.young) for own in split]))
+        new.discard("")
+        if new:
             self.learn(new)
-        get = self.chunks.__getitem__
-        return [np.frombuffer(b"".join(map(get, own)), "<u4") for own in split]
+        self.chunks.young[""] = b""  # between two blanks
+        get = self.chunks.young.__getitem__
+        out = [np.frombuffer(b"".join(map(get, own)), "<u4") for own in split]
+        self.chunks.age()
+        self.words.age()
+        return out
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-_leaving: dict[str, Timer] = {}
-
-
-@contextmanager
-def encoder_of(path: str, idle: float = IDLE_SECONDS) -> Iterator[ChunkEncoder]:
-    """The encoder of a worker process, which goes from task to task.
-
-    Workers live on after the stage: what an encoder remembers is given up once no task has used it
-    for `idle` seconds, so that it does not take the memory of the stages behind.
-    """
-    if waiting := _leaving.pop(path, None):
-        waiting.cancel()
-    encoder = _encoders[path] = _encoders.get(path) or ChunkEncoder(path)
-    try:
-        yield encoder
-    finally:
-        _leaving[path] = timer = Timer(idle, _encoders.pop, (path, None))
-        timer.daemon = True
-        timer.start()
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> ChunkEncoder:
+    """The encoder of a worker process, which goes from task to task within its budget of bytes."""
+    return ChunkEncoder(path)
 
 
 def encoded(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[np.ndarray]:
     """The ids of all texts in turn, taken up in runs of about 200,000 characters."""
-    held: list[str] = []
+    held, size = [], 0
     for text in texts:
         held.append(text or "")
-        if sum(map(len, held)) >= 200_000:
+        size += len(held[-1])
+        if size >= 200_000:
             yield from encoder.encode(held)
-            held = []
+            held, size = [], 0
     yield from encoder.encode(held)
 
 
@@ -136,19 +148,19 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     schema = f"id {chosen.schema['id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with encoder_of(tokenizer_path) as encoder:
-            for batch in batches:
-                rows, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoded(encoder, batch["text"].tolist())):
-                    ids = np.append(ids, np.array([end_id], "<u4"))
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        rows.append(i)
-                        piece.append(k)
-                        start.append(at)
-                        length.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                yield pd.DataFrame({"id": batch["id"].iloc[rows].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+        encoder = encoder_of(tokenizer_path)
+        for batch in batches:
+            rows, piece, start, length, crc = [], [], [], [], []
+            for i, ids in enumerate(encoded(encoder, batch["text"].tolist())):
+                ids = np.append(ids, np.array([end_id], "<u4"))
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    rows.append(i)
+                    piece.append(k)
+                    start.append(at)
+                    length.append(len(part))
+                    crc.append(zlib.crc32(part.tobytes()))
+            yield pd.DataFrame({"id": batch["id"].iloc[rows].array, "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     return chosen.mapInPandas(run, schema)
 
@@ -232,6 +244,24 @@ def fillings(lengths: list[int], counts: dict[int, int], room: int, most: int, n
     return kept
 
 
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """Lower bound on bins: for each k, pieces longer than capacity - k stand without any of k or more; those above
+    half stand alone, and only the room beside them takes what is between k and half (Martello and Toth)."""
+    sizes = sorted(x for x, n in counts.items() if n)
+    if not sizes:
+        return 0
+    x, n = np.array(sizes, np.int64), np.array([counts[s] for s in sizes], np.int64)
+    number, total = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(x * n)))
+    half, best = int(np.searchsorted(x, capacity // 2, "right")), -(-int(total[-1]) // capacity)
+    for k in range(half + 1):
+        least = x[k] if k < half else capacity // 2
+        high = int(np.searchsorted(x, capacity - least, "right"))
+        room = (number[high] - number[half]) * capacity - (total[high] - total[half])
+        rest = total[half] - total[k] - room
+        best = max(best, int(number[-1] - number[half]) + max(0, -(-int(rest) // capacity)))
+    return best
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, width: int = 3, nodes: int = 400, steps: int = 20_000) -> tuple[list[Pattern], int]:
     """Patterns (lengths of a bin, number of such bins) that hold all pieces, and the lower bound on bins.
 
@@ -239,7 +269,7 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, width: int
     incumbent stands.
     """
     total = sum(x * n for x, n in counts.items())
-    lower = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
+    lower = least_bins(counts, capacity)
     best = best_fit(counts, capacity)
     best_bins = sum(n for _, n in best)
     left, used = steps, dict(counts)
