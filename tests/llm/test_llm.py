@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -165,6 +166,22 @@ def test_language_equals_plain_prediction(docs):
         assert r.lang_pred == costs[0][1] and abs(r.score - (1 - costs[0][0] / costs[1][0] if bare else 0)) < 1e-12
 
 
+def test_language_sample_of_repeated_and_null_ids(spark):
+    """Rows are told apart by id and text: few ids or none still give a sample, and copies fill it only once."""
+    rng = random.Random(1)
+    word = {"de": ["und", "der", "nicht", "schon", "straße"], "en": ["and", "the", "not", "already", "street"]}
+    rows = [(k % 3 if own else None, " ".join(rng.choice(word[lang]) for _ in range(30)), lang) for own in (True, False) for lang in word for k in range(600)]
+    one = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 4 != 2)  # an id that may be learned from
+    rows += [(None, "same text of copies", "fr")] * 500 + [(None, "un autre texte rare", "fr")]
+    for part in (rows, [r for r in rows if r[0] is None], [(one, *r[1:]) for r in rows if r[0] is not None]):
+        model = language_id.learn(spark.createDataFrame(part, "doc_id long, text string, lang string").repartition(5), sample_docs=64)
+        sizes = {k: len(v) // 4 for k, v in model.samples.items()}
+        assert {"de", "en"} <= set(sizes) and all(64 * 60 < sizes[k] < 64 * 200 for k in ("de", "en"))
+        assert model.predict("und der nicht")[0] == "de" and model.predict("the street and not")[0] == "en"
+        if "fr" in sizes:
+            assert 30 < sizes["fr"] < 60
+
+
 def test_language_odd(odd, none):
     got = language_id.identify(odd, language_id.learn(odd))
     assert got.columns == [*odd.columns[:-2], "score_input", "n", "lang_pred", "score"] and {r.score_input for r in got.collect()} == {"s", None}
@@ -324,6 +341,30 @@ def test_attention_equals_plain_loops_and_gradients_are_right():
             assert abs((up - down) / 2e-6 - grad[i]) < 1e-6
 
 
+def test_scores_are_those_of_the_fitted_forward_pass(monkeypatch):
+    """Values beyond the clip count alike in fitting and scoring; neighbours in a batch and runs of a long text do not."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(["plain", "words", "####", "A1,", "e" * 30]) for _ in range(rng.randint(1, 900))) for _ in range(40)]
+    labels = np.array([float("####" in t[:200]) for t in texts])
+    x, counts = quality_model.passages(texts)
+    x[3, :] = 1e4  # far beyond what is usual
+    model = quality_model.fit(x.astype(np.float64), counts, labels, rounds=20)
+    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+    fitted = model.forward(model.standard(x), starts, counts)["y"]
+    assert np.abs(model.standard(x)).max() <= quality_model.CLIP
+    x2, _ = quality_model.passages(texts)
+    same = model.forward(model.standard(x2), starts, counts)["y"]
+    assert np.allclose(model.scores(texts), same) and np.allclose(fitted[5:], same[5:])
+    assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
+    long = "word " * 1000 + "next " * 1000
+    want = quality_model.passages([long[k : k + 1200] for k in range(0, len(long), 1200)])[0]
+    monkeypatch.setattr(quality_model, "RUN", 1200)
+    parts, owner = quality_model.parts_of([None, long, "", "x"])
+    assert "".join(parts) == long + "x" and owner.tolist() == [1] * 9 + [3]
+    f = model.forward(model.standard(want), np.array([0]), np.array([len(want)]))
+    assert np.allclose(model.scores(["a", long, None])[1], f["y"])
+
+
 def test_classifier_held_out(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "quality")
@@ -444,14 +485,51 @@ def test_bin_completion_beats_best_fit():
     assert dict(used) == counts and sum(n for _, n in patterns) <= sum(n for _, n in packing.best_fit(counts, 10))
 
 
-def test_encoder_goes_when_idle():
-    path = packing.default_tokenizer()
-    with packing.encoder_of(path, 0.2) as first:
-        assert len(next(packing.encoded(first, ["one two"]))) > 0
-    with packing.encoder_of(path, 0.2) as second:
-        assert second is first
-    packing._leaving[path].join()
-    assert path not in packing._encoders
+def test_least_bins_is_no_more_than_best_fit_and_sees_large_pieces():
+    assert packing.least_bins({6: 3, 5: 1}, 10) == 4 and packing.least_bins({}, 10) == 0
+    assert packing.least_bins({7: 2, 4: 2, 3: 1}, 10) == 3  # 25 of room 30, and neither 4 fits beside a 7
+    assert packing.least_bins({7: 3, 4: 3}, 10) == 5  # by size alone 4
+    rng = random.Random(4)
+    for _ in range(300):
+        counts = {rng.randint(1, 20): rng.randint(1, 5) for _ in range(rng.randint(1, 6))}
+        assert -(-sum(x * n for x, n in counts.items()) // 20) <= packing.least_bins(counts, 20) <= sum(n for _, n in packing.best_fit(counts, 20))
+
+
+def test_bin_completion_saves_bins():
+    """Histograms of bins that were full before they were cut: the search often finds what best fit does not."""
+    saved = 0
+    rng = random.Random(8)
+    for _ in range(60):
+        counts = Counter()
+        for _ in range(6):  # six full bins, cut at random
+            cuts = sorted(rng.sample(range(10, 91), 3))
+            counts.update(b - a for a, b in zip([0, *cuts], [*cuts, 100], strict=True))
+        patterns, lower = packing.bin_completion(dict(counts), 100)
+        found, plain = sum(n for _, n in patterns), sum(n for _, n in packing.best_fit(counts, 100))
+        assert lower <= found <= plain
+        saved += found < plain
+    assert saved >= 20
+
+
+def test_encoder_keeps_to_its_budget():
+    encoder = packing.ChunkEncoder(packing.default_tokenizer(), most_bytes=100_000)
+    plain = packing.ChunkEncoder(packing.default_tokenizer())
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdé.,7") for _ in range(rng.randint(0, 9))) for _ in range(200)) for _ in range(30)]
+    for t in texts + texts[::-1]:
+        want = np.array(plain.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
+        assert np.array_equal(encoder.encode([t])[0], want) and np.array_equal(plain.encode([t])[0], want)
+        held = sum(packing.ENTRY_BYTES + len(k) + len(v) for d in (encoder.chunks.young, encoder.chunks.old) for k, v in d.items())
+        assert held < 100_000 + 2 * 200 * 300  # what one call adds goes at its end
+    assert len(encoder.chunks.young) < len(plain.chunks.young)
+
+
+def test_tokenizer_of_other_rules_encodes_whole_texts():
+    import public_tokenizers
+
+    encoder = packing.ChunkEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    text = " Two  Words, and\n\nmore. "
+    assert encoder.whole and encoder.encode([text])[0].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_packing_odd(odd, none):
@@ -498,6 +576,20 @@ def test_base_spans():
     assert personal_data.base_spans("9" * 50000 + "." + "@" * 1000) == []
 
 
+def test_mails_in_long_runs():
+    """5 MB without a blank take a time that is linear in their length; matches are those of the plain pattern."""
+    plain = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    rng = random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab.@@-_ é+") for _ in range(rng.randint(0, 60)))
+        assert list(personal_data.emails(text)) == [m.span() for m in plain.finditer(text)]
+    began = time.process_time()
+    long = "a" * 5_000_000
+    assert list(personal_data.emails(long + "@b")) == [] and list(personal_data.emails(long + "@b.c" + long)) == [(0, 10_000_004)]
+    assert list(personal_data.emails("@".join("a" * 50 for _ in range(100_000)))) == []
+    assert time.process_time() - began < 5
+
+
 def test_base_spans_equal_the_plain_patterns(docs):
     import re
 
