@@ -47,13 +47,6 @@ def test_rsi_of_one_way_series():
     assert recurrences.rsi_of(pd.Series([5.0] * 30), 14).iloc[-1] == 0
 
 
-def test_walk_takes_the_stop_first():
-    b = pd.DataFrame({"ts": range(5), "open": [10, 10, 10, 10, 10.0], "high": [10, 10, 12, 10, 10.0], "low": [10, 10, 8, 10, 10.0], "close": [10.0] * 5, "enter": [True, False, False, False, False], "leave": [False] * 5})
-    assert backtest.walk(b, 0.05, 0.1, 10) == [(1, 2, 10, 9.5, "stop")]
-    assert backtest.walk(b, 0.5, 0.1, 10) == [(1, 2, 10, 11.0, "target")]
-    assert backtest.walk(b, 0.5, 0.5, 2) == [(1, 3, 10, 10.0, "time")]
-
-
 def test_asof_ties_nulls_and_empty(spark):
     left = spark.createDataFrame([("A", 1), ("A", 5), ("B", 5), (None, 5)], "symbol string, ts long")
     right = spark.createDataFrame([("A", 5, 1.0), ("A", 5, 2.0), ("A", 2, None)], "symbol string, ts long, v double")

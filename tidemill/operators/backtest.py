@@ -1,14 +1,12 @@
 """Backtests and their statistics over bars with signals.
 
-Where positions follow from signals row by row, everything is windows: a signal of one bar is traded
-at the next bar's open. Where exits depend on the entry (stops, targets, longest stay), one grouped
-pass for each symbol (and parameter set) walks its bars.
+Positions follow from signals row by row, so that everything is windows: a signal of one bar is traded
+at the next bar's open. Exits that depend on the entry (stops, targets, trailing stops, longest stay) are
+first passages: see `passage.trades`.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,49 +42,6 @@ def summary(df: DataFrame, bars_per_year: float) -> DataFrame:
     )
 
 
-def walk(bars: pd.DataFrame, stop: float, target: float, longest: int) -> list[tuple]:
-    """Trades of one symbol: entry at the open after a signal; a stop goes before a target within a bar."""
-    o, h, low, c = (bars[x].to_numpy() for x in ("open", "high", "low", "close"))
-    signal, leave, ts = bars["enter"].to_numpy(bool), bars["leave"].to_numpy(bool), bars["ts"].to_numpy()
-    out, k = [], 0
-    while k < len(bars) - 1:
-        if not signal[k]:
-            k += 1
-            continue
-        at = k + 1
-        price = o[at]
-        for j in range(at, len(bars)):
-            if j > at and leave[j - 1]:
-                got, why = o[j], "signal"
-            elif j - at >= longest:
-                got, why = o[j], "time"
-            elif low[j] <= price * (1 - stop):
-                got, why = min(o[j], price * (1 - stop)), "stop"
-            elif h[j] >= price * (1 + target):
-                got, why = max(o[j], price * (1 + target)), "target"
-            elif j == len(bars) - 1:
-                got, why = c[j], "end"
-            else:
-                continue
-            out.append((ts[at], ts[j], price, got, why))
-            break
-        k = j
-    return out
-
-
-def trades(df: DataFrame, stop: float = 0.05, target: float = 0.1, longest: int = 24) -> DataFrame:
-    """(symbol, entry_ts, exit_ts, entry, exit, reason) of every trade; needs columns enter and leave."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("ts", kind="stable").reset_index(drop=True)
-        got = pd.DataFrame(walk(b, stop, target, longest), columns=["entry_ts", "exit_ts", "entry", "exit", "reason"])
-        got.insert(0, "symbol", b["symbol"].iloc[0])
-        return got
-
-    schema = "symbol string, entry_ts timestamp, exit_ts timestamp, entry double, exit double, reason string"
-    return df.groupBy("symbol").applyInPandas(run, schema)
-
-
 def sweep(df: DataFrame, grid: list[tuple[int, int]]) -> DataFrame:
     """Summaries of moving-average crosses for every (fast, slow): the grid is a small constant table, windows do the rest."""
     from tidemill.functions.windows import cross_above, cross_below, mean
@@ -106,7 +61,3 @@ def leaderboard(df: DataFrame) -> DataFrame:
     """Parameter sets of each symbol by falling Sharpe ratio."""
     place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("sharpe").desc_nulls_last(), "fast", "slow"))
     return df.withColumn("place", place)
-
-
-def sharpe(x: np.ndarray) -> float:
-    return float(x.mean() / x.std(ddof=1)) if len(x) > 1 and x.std(ddof=1) > 0 else float("nan")

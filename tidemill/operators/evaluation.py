@@ -6,8 +6,10 @@ block of time, so that a ledger is read once however many splits are looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,19 +151,129 @@ def overfitting(ledger: DataFrame, blocks: int = 10) -> DataFrame:
     return splits_of(ledger, blocks).agg(F.avg((F.col("share") <= 0.5).cast("int")).alias("pbo"), F.count("*").alias("n_splits"), F.median("share").alias("median_share"))
 
 
-def walked_forward(ledger: DataFrame, train: int, test: int) -> DataFrame:
-    """(window, trial, n, mean, sharpe): the best trial of each training window and its returns in the test window that follows.
+def smoothed(scores: DataFrame, points: DataFrame, axes: int, by: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:
+    """(by..., trial, score, mean, spread, neighbours): scores averaged over a trial's neighbours on the lattice of parameters.
 
-    Windows count instants; the next one starts `test` later.
+    `points` (trial, place) gives each trial its coordinates, an array of `axes` whole numbers. Neighbours are one step
+    away along one axis, the trial itself included; every trial gives its score to its neighbours' places, so
+    that neighbours meet by equality. Trials of which less than `least` of the neighbours have a score get none, so
+    that corners are not favoured for having few. An isolated peak is drawn down by what is around it.
     """
-    instants = ledger.select("ts").distinct().withColumn("k", F.row_number().over(Window.orderBy("ts")) - 1)
-    last = F.floor(F.col("k") / test)  # the last window that has started at this instant
-    placed = ledger.filter("ret is not null").join(instants, "ts")
-    first = F.greatest(F.lit(0), F.ceil((F.col("k") - train - test + 1) / test))
-    dealt = placed.withColumn("window", F.explode(F.sequence(first.cast("int"), F.greatest(last, first).cast("int"))))
+    step = lambda axis, by_: F.transform("place", lambda x, i: x + F.when(i == axis, by_).otherwise(0))
+    around = F.explode(F.array(F.col("place"), *[step(k, d) for k in range(axes) for d in (-1, 1)]))
+    given = points.select("trial", around.alias("place"))
+    sizes = given.groupBy("place").agg(F.count("*").alias("size"))
+    known = points.join(sizes, "place")
+    got = scores.filter("score is not null").join(given, "trial").groupBy(*by, "place").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("spread"), F.count("*").alias("neighbours"))
+    found = got.join(known, "place").filter(F.col("neighbours") >= F.greatest(F.lit(1), F.ceil(least * F.col("size"))))
+    own = scores.select(*by, "trial", "score")
+    return found.join(own, [*by, "trial"], "left").select(*by, "trial", "score", "mean", "spread", "neighbours")
+
+
+def best_trials(scores: DataFrame, top: int = 1, points: DataFrame | None = None, axes: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., trial, score, place): the `top` trials by score, or with `points` by the score of their plateau; ties go to the smaller trial."""
+    if points is not None:
+        ranked = smoothed(scores, points, axes, by).withColumn("_by", F.col("mean"))
+    else:
+        ranked = scores.filter("score is not null").withColumn("_by", F.col("score"))
+    order = Window.partitionBy(*by).orderBy(F.desc("_by"), "trial")
+    return ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= top).select(*by, "trial", "score", "place")
+
+
+def walked_forward(ledger: DataFrame, train: int, test: int, embargo: int = 10, top: int = 1, points: DataFrame | None = None, axes: int = 0) -> DataFrame:
+    """(window, trial, n_picked, own_score, n, mean, total, score): trials chosen in each training window, held in the test window.
+
+    Windows count instants. `embargo` instants between training and test are left out, since signals and
+    entries reach over the border. The next window starts `test` later, and only whole windows count. The `top` trials by
+    Sharpe ratio (with `points`, by their plateau) are held in equal parts; `trial` is the first of them.
+    """
+    instants = ledger.select("ts").distinct().withColumn("k", F.row_number().over(Window.orderBy("ts")) - 1)  # one row per instant
+    instants = instants.withColumn("count", F.count("*").over(Window.partitionBy()))
+    span = train + embargo + test
+    last = F.floor((F.col("count") - span) / test)
+    first = F.greatest(F.lit(0), F.ceil((F.col("k") - span + 1) / test))
+    latest = F.least(last, F.floor(F.col("k") / test))
+    dealt = ledger.filter("ret is not null").join(instants, "ts").filter(first <= latest)
+    dealt = dealt.withColumn("window", F.explode(F.sequence(first.cast("int"), latest.cast("int"))))
     inside = F.col("k") - F.col("window") * test
-    dealt = dealt.withColumn("tested", inside >= train).filter((inside >= 0) & (inside < train + test))
-    sums = lambda rows: rows.groupBy("window", "trial").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
+    learned, held = dealt.filter(inside < train), dealt.filter(inside >= train + embargo)
+    sums = (F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
     score = sharpe(F.col("n"), F.col("s"), F.col("q"))
-    best = sums(dealt.filter("not tested")).withColumn("score", score).filter("score is not null").groupBy("window").agg(F.min_by("trial", F.struct(-F.col("score"), F.col("trial"))).alias("trial"))
-    return sums(dealt.filter("tested")).join(best, ["window", "trial"]).select("window", "trial", "n", (F.col("s") / F.col("n")).alias("mean"), F.col("s").alias("total"))
+    scores = learned.groupBy("window", "trial").agg(*sums).select("window", "trial", score.alias("score"))
+    picks = best_trials(scores, top, points, axes, ("window",))
+    book = held.join(picks.select("window", "trial"), ["window", "trial"]).groupBy("window", "ts").agg(F.avg("ret").alias("ret")).groupBy("window").agg(*sums)
+    chosen = picks.groupBy("window").agg(F.min_by("trial", "place").alias("trial"), F.count("*").alias("n_picked"), F.min_by("score", "place").alias("own_score"))
+    return book.join(chosen, "window").select("window", "trial", "n_picked", "own_score", "n", (F.col("s") / F.col("n")).alias("mean"), F.col("s").alias("total"), score.alias("score"))
+
+
+#: Trials of a block and instants of a chunk in the matrix of all correlations.
+TRIAL_BLOCK, CHUNK = 256, 512
+
+
+def _squares_of_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(trace, squares) of each tile: its block of the correlation matrix is built up chunk by chunk; rows come sorted."""
+    key, sides, chunk, rows, total = None, None, None, [], 0
+
+    def close_chunk() -> None:
+        if not rows:
+            return
+        present = {t: k for k, t in enumerate(sorted({t for r in rows for t in r[2]}))}
+        dense = [np.zeros((len(s["names"]), len(present))) for s in sides]
+        for side, k, at, values in rows:
+            dense[side][k, [present[t] for t in at]] = values
+        for s, d in zip(sides, dense, strict=True):
+            grown = np.zeros((2, len(d)))
+            grown[:, : s["sums"].shape[1]] = s["sums"]
+            s["sums"] = grown + np.array([d.sum(1), (d * d).sum(1)])
+        product = dense[0] @ dense[1].T
+        product[: sides[0]["dots"].shape[0], : sides[0]["dots"].shape[1]] += sides[0]["dots"]
+        sides[0]["dots"] = product
+        rows.clear()
+
+    def result() -> pd.DataFrame:
+        close_chunk()
+        (s, q), (u, v) = sides[0]["sums"], sides[1]["sums"]
+        norm = lambda a, b: np.sqrt(np.maximum(b - a * a / total, 0))
+        a, b = norm(s, q), norm(u, v)
+        scale = np.outer(a, b)
+        corr = np.divide(sides[0]["dots"] - np.outer(s, u) / total, scale, out=np.zeros_like(scale), where=scale > 1e-14)
+        same = key[0] == key[1]
+        return pd.DataFrame({"trace": [float((a > 1e-14).sum()) if same else 0.0], "squares": [float((corr**2).sum()) * (1 if same else 2)]})
+
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if (row.first, row.second) != key:
+                if key is not None:
+                    yield result()
+                key, chunk, total = (row.first, row.second), None, row.total
+                sides = [{"names": {}, "sums": np.zeros((2, 0)), "dots": np.zeros((0, 0))} for _ in range(2)]
+            if row.chunk != chunk:
+                close_chunk()
+                chunk = row.chunk
+            for side in (0, 1) if row.first == row.second else (0,) if row.block == row.first else (1,):
+                names = sides[side]["names"]
+                rows.append((side, names.setdefault(row.trial, len(names)), row.at, row.ret))
+    if key is not None:
+        yield result()
+
+
+def effective_trials(ledger: DataFrame, block: int = TRIAL_BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """One row: the number of trials and how many independent bets they hold, by the participation ratio of their correlations.
+
+    (sum of eigenvalues)^2 / (sum of their squares) is trace^2 over the sum of squared correlations, so that no
+    eigenvalues are needed. Trials are dealt into blocks; each tile of two blocks takes up the returns of
+    successive chunks of time and gives two numbers. A return that is missing counts as 0; trials without any
+    return are left out, those without spread correlate with none.
+    """
+    known = ledger.filter("ret is not null")
+    total = ledger.select("ts").distinct().count()
+    trials = known.select("trial").distinct()
+    n = trials.count()
+    if n <= 1:
+        return trials.agg(F.count("*").alias("n_trials"), F.count("*").cast("double").alias("effective"))
+    chunks, blocks = max(1, -(-total // chunk)), max(1, -(-n // block))
+    vectors = known.withColumn("chunk", F.pmod(F.xxhash64("ts"), F.lit(chunks)).cast("int")).groupBy("trial", "chunk").agg(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("ret").cast("double").alias("r"))).alias("v"))
+    vectors = vectors.select("trial", "chunk", F.col("v.t").alias("at"), F.col("v.r").alias("ret"), F.pmod(F.xxhash64("trial"), F.lit(blocks)).cast("int").alias("block"))
+    tiles = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other"), "total": F.lit(total)})
+    parts = tiles.drop("other").repartition("first", "second").sortWithinPartitions("first", "second", "chunk", "trial").mapInPandas(_squares_of_tiles, "trace double, squares double")
+    return parts.agg(F.lit(n).cast("bigint").alias("n_trials"), F.coalesce(F.try_divide(F.sum("trace") * F.sum("trace"), F.sum("squares")), F.lit(1.0)).alias("effective"))

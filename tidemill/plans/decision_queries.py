@@ -265,10 +265,59 @@ def overfitting(spark, sf_dir):
     return W.rounded(evaluation.overfitting(ledger(spark, sf_dir), 8), 6)
 
 
-@query("walk_forward", f"""WITH {LEDGER}, i AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k FROM (SELECT DISTINCT ts FROM l)),
-r AS (SELECT trial, ret, k, w.range AS win, k - w.range * 26 AS p FROM l JOIN i USING (ts) JOIN range(200) w ON k - w.range * 26 BETWEEN 0 AND 129 WHERE ret IS NOT NULL),
-a AS (SELECT win, trial, {sharpe('count(*)', 'sum(ret)', 'sum(ret * ret)')} AS score FROM r WHERE p < 104 GROUP BY ALL),
-b AS (SELECT win, arg_max(trial, score) AS trial FROM a WHERE score IS NOT NULL GROUP BY win)
-SELECT CAST(win AS INTEGER) AS "window", trial, count(*) AS n, {r('avg(ret)', 'mean')}, {r('sum(ret)', 'total')} FROM r JOIN b USING (win, trial) WHERE p >= 104 GROUP BY win, trial""")
+POINTS = "points AS (SELECT symbol AS trial, CAST(substr(symbol, 2) AS BIGINT) // 10 AS a, CAST(substr(symbol, 2) AS BIGINT) % 10 AS b FROM (SELECT DISTINCT symbol FROM panel))"
+#: From scores (win, trial, score) to `plateau` (win, trial, score, mean, spread, neighbours).
+PLATEAU = """sized AS (SELECT p.trial, p.a, p.b, count(*) AS size FROM points p JOIN points o ON abs(p.a - o.a) + abs(p.b - o.b) <= 1 GROUP BY ALL),
+plateau AS (SELECT s.win, p.trial, any_value(o.score) AS score, avg(s.score) AS mean, stddev_pop(s.score) AS spread, count(*) AS neighbours
+  FROM scores s JOIN points q USING (trial) JOIN sized p ON abs(p.a - q.a) + abs(p.b - q.b) <= 1 LEFT JOIN scores o ON o.win = s.win AND o.trial = p.trial
+  WHERE s.score IS NOT NULL GROUP BY s.win, p.trial, p.size HAVING count(*) >= greatest(1, ceil(0.5 * p.size)))"""
+
+
+def lattice(df):
+    """Trials named S<k> as points (k // 10, k % 10) of a lattice of two parameters."""
+    k = F.substring("trial", 2, 20).cast("int")
+    return df.select("trial").distinct().select("trial", F.array(F.floor(k / 10).cast("int"), k % 10).alias("place"))
+
+
+@query("plateau", f"""WITH {LEDGER}, scores AS (SELECT 0 AS win, trial, {sharpe('count(ret)', 'sum(ret)', 'sum(ret * ret)')} AS score FROM l GROUP BY trial), {POINTS}, {PLATEAU}
+SELECT trial, {r('score', 'score')}, {r('mean', 'mean')}, {r('spread', 'spread')}, neighbours FROM plateau""")
+def plateau(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    scores = evaluation.trial_scores(rows).select("trial", F.col("sharpe").alias("score"))
+    return W.rounded(evaluation.smoothed(scores, lattice(rows), 2), 6)
+
+
+def walk_sql(top: int, scores: str = "scores", by: str = "score") -> str:
+    """From scores of windows to the rows of a walk that holds the best `top`."""
+    return f"""picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY {by} DESC, trial) AS place FROM {scores} WHERE {by} IS NOT NULL) WHERE place <= {top}),
+book AS (SELECT win, ts, avg(ret) AS ret FROM r JOIN picks USING (win, trial) WHERE p >= 114 GROUP BY win, ts),
+first AS (SELECT win, arg_min(trial, place) AS trial, count(*) AS n_picked, arg_min(score, place) AS own_score FROM picks GROUP BY win)
+SELECT CAST(win AS INTEGER) AS "window", any_value(trial) AS trial, any_value(n_picked) AS n_picked, {r('any_value(own_score)', 'own_score')}, count(*) AS n, {r('avg(ret)', 'mean')},
+  {r('sum(ret)', 'total')}, {r(sharpe('count(*)', 'sum(ret)', 'sum(ret * ret)'), 'score')} FROM book JOIN first USING (win) GROUP BY win"""
+
+
+WALK = f"""{LEDGER}, i AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM l)),
+w AS (SELECT unnest(range((SELECT any_value(n) - 153 FROM i) // 39 + 1)) AS win),
+r AS (SELECT trial, ts, ret, win, k - win * 39 AS p FROM l JOIN i USING (ts) JOIN w ON k - win * 39 BETWEEN 0 AND 152 WHERE ret IS NOT NULL),
+scores AS (SELECT win, trial, {sharpe('count(*)', 'sum(ret)', 'sum(ret * ret)')} AS score FROM r WHERE p < 104 GROUP BY ALL)"""
+
+
+@query("walk_forward", f"WITH {WALK}, {walk_sql(1)}")
 def walk_forward(spark, sf_dir):
-    return W.rounded(evaluation.walked_forward(ledger(spark, sf_dir), 104, 26), 6)
+    return W.rounded(evaluation.walked_forward(ledger(spark, sf_dir), 104, 39), 6)
+
+
+@query("walk_forward_plateau", f"WITH {WALK}, {POINTS}, {PLATEAU}, {walk_sql(5, 'plateau', 'mean')}")
+def walk_forward_plateau(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    return W.rounded(evaluation.walked_forward(rows, 104, 39, top=5, points=lattice(rows), axes=2), 6)
+
+
+@query("effective_trials", f"""WITH {LEDGER}, n AS (SELECT count(DISTINCT ts) AS n FROM l), k AS (SELECT * FROM l WHERE ret IS NOT NULL),
+m AS (SELECT trial, sum(ret) AS s, sqrt(greatest(0, sum(ret * ret) - sum(ret) * sum(ret) / any_value(n))) AS d FROM k, n GROUP BY trial),
+g AS (SELECT a.trial AS a, b.trial AS b, sum(a.ret * b.ret) AS dot FROM k a JOIN k b USING (ts) GROUP BY ALL),
+c AS (SELECT x.trial AS a, y.trial AS b, CASE WHEN x.d * y.d > 1e-14 THEN (coalesce(dot, 0) - x.s * y.s / n) / (x.d * y.d) ELSE 0 END AS c
+  FROM n, m x CROSS JOIN m y LEFT JOIN g ON g.a = x.trial AND g.b = y.trial)
+SELECT (SELECT count(*) FROM m) AS n_trials, {r('power((SELECT count(*) FROM m WHERE d > 1e-14), 2) / sum(c * c)', 'effective')} FROM c""")
+def effective_trials(spark, sf_dir):
+    return W.rounded(evaluation.effective_trials(ledger(spark, sf_dir)), 6)

@@ -158,12 +158,6 @@ def backtest_summary(spark, sf_dir):
     return W.rounded(got, 6)
 
 
-@query("backtest_trades")
-def backtest_trades(spark, sf_dir):
-    """Trades with stops, targets and a longest stay: each depends on its entry; a plain walk is the test."""
-    return W.rounded(backtest.trades(crossed(spark, sf_dir)), 6)
-
-
 def ewm_sql(x: str, alpha: float, n: int, name: str) -> str:
     """An exponential mean from the first value on, as a running sum of values over powers of its decay."""
     a, d = repr(alpha), repr(1 - alpha)
