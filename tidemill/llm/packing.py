@@ -28,49 +28,96 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import cut
+from tidemill.llm.textvec import LOWER, run_hashes
 
 CAPACITY = 2048
 #: Parts in which the ranks within one length are counted.
 PARTS = 64
-#: Marks that often end a chunk; the tokenizer parts them from the letters before.
-MARKS = ".,"
-#: Bytes that a remembered string takes besides its characters and ids (two objects and a place in a table).
-ENTRY_BYTES = 200
 #: Texts on which the rules of `ChunkEncoder` are tried.
-PROBES = ("The quick, brown. Fox", "NAÏVE Straße.", "a  b\nc", "x1 3.14, (no) we'll e-mail 日本語, ok.", " lead and trail ", "ends,")
+PROBES = ("The quick, brown. Fox", "NAÏVE Straße.", "a  b\nc", "x1 3.14, (no) we'll e-mail 日本語, ok.", " lead and trail ", "ends,", "Été ÷ 2×3 ÀÞß…¿qué? a..b $5% <b>\t42nd")
 
 
-class Memory:
-    """Bytes by string within a budget of bytes: what was not used for longest goes, half of all at once."""
+#: Classes of bytes: white space, letters, digits, marks, and what makes a chunk be encoded whole.
+SPACE, LETTER, DIGIT, MARK, WHOLE = range(5)
+_CLASS = np.array([LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else SPACE if c in b" \t\n\x0b\x0c\r" else MARK if 33 <= c < 127 and c not in b"'<" else WHOLE for c in range(128)] + [WHOLE] * 128, np.uint8)
+_LOWER = np.frombuffer(LOWER, np.uint8)
 
-    def __init__(self, most_bytes: int) -> None:
-        self.most, self.size = most_bytes // 2, 0
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def add(self, found: dict[str, bytes]) -> None:
-        self.young.update(found)
-        self.size += sum(ENTRY_BYTES + len(k) + len(v) for k, v in found.items())
+def units(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-case bytes of a text, starts and ends of what is encoded for itself, and which of these are letters only.
 
-    def unknown(self, wanted: set[str]) -> set[str]:
-        """Those that are not remembered; the others count as used now."""
-        wanted = wanted.difference(self.young)
-        back = {k: self.old[k] for k in wanted.intersection(self.old)}
-        self.add(back)
-        return wanted.difference(back)
+    Between blanks, runs of letters (ASCII and those of two bytes that begin with C3), single digits and runs of marks; a chunk
+    with any other byte is one unit.
+    """
+    kind, low = _CLASS[data], _LOWER[data]
+    pair = np.flatnonzero(data[:-1] == 0xC3)
+    second = data[pair + 1]
+    fits = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)
+    pair, second = pair[fits], second[fits]
+    kind[pair] = kind[pair + 1] = LETTER
+    low[pair + 1] = np.where(second <= 0x9E, second + 0x20, second)
+    full = kind != SPACE
+    before = np.concatenate(([SPACE], kind[:-1]))
+    chunk = np.cumsum(full & (before == SPACE)) - 1
+    odd = np.zeros(int(chunk[-1]) + 2 if len(chunk) else 1, bool)
+    odd[chunk[kind == WHOLE]] = True
+    starts = full & ((before == SPACE) | (~odd[chunk] & ((kind != before) | (kind == DIGIT))))
+    begins = np.flatnonzero(starts)
+    after = np.concatenate((~full[1:], [True])) if len(full) else full
+    stops = np.flatnonzero(full & (after | np.concatenate((starts[1:], [True])))) + 1 if len(full) else begins
+    return low, begins, stops, (kind[begins] == LETTER) & ~odd[chunk[begins]]
+
+
+class Ids:
+    """Ids by hash of a unit, in arrays, within a budget of bytes: what was not used for longest goes, half of all at once."""
+
+    def __init__(self, most_bytes: int) -> None:
+        self.most = most_bytes
+        self.keys, self.first, self.many, self.used = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pool, self.clock = np.zeros(0, np.uint32), 0
+
+    @property
+    def bytes(self) -> int:
+        return len(self.keys) * 24 + self.pool.nbytes
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where unknown."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1)
+
+    def add(self, keys: np.ndarray, found: list[np.ndarray]) -> None:
+        many = np.array([len(x) for x in found], np.int32)
+        first = len(self.pool) + np.cumsum(many) - many
+        self.pool = np.concatenate([self.pool, *found])
+        order = np.argsort(keys)
+        place = np.searchsorted(self.keys, keys[order])
+        grown = lambda old, new: np.insert(old, place, new[order].astype(old.dtype))
+        self.first, self.many, self.used = grown(self.first, first), grown(self.many, many), grown(self.used, np.full(len(keys), self.clock))
+        self.keys = grown(self.keys, keys)
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids at places, in turn, and how many each has."""
+        many = self.many[at].astype(np.int64)
+        ends = np.cumsum(many)
+        return self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[at] - ends + many, many)], many
 
     def age(self) -> None:
-        if self.size > self.most:
-            self.old, self.young, self.size = self.young, {}, 0
+        self.clock += 1
+        if self.bytes > self.most:
+            keep = np.flatnonzero(self.used >= np.partition(self.used, len(self.used) // 2)[len(self.used) // 2])
+            keep = keep[-(len(self.used) // 2) :] if len(keep) == len(self.used) else keep
+            pool, _ = self.gather(keep)
+            self.keys, self.many, self.used, self.pool = self.keys[keep], self.many[keep], self.used[keep], pool
+            self.first = np.cumsum(self.many, dtype=np.int64) - self.many
 
 
 class ChunkEncoder:
-    """Encodes whole texts chunk by chunk (between spaces), remembering chunks seen before.
+    """Encodes whole texts unit by unit, remembering units seen before by 64 bits of hash.
 
-    The tokenizer splits at white space, and letters from other characters, before it merges
-    anything, so that the ids of a text are those of its chunks in turn, and those of letters with
-    a mark behind are those of both. New chunks of letters are encoded together, with a digit
-    between them. A tokenizer for which that does not hold on `PROBES` encodes whole texts instead.
+    The tokenizer lower-cases, splits at white space, and parts letters, single digits and marks from each other before it
+    merges anything, so that the ids of a text are those of its units in turn. New words are encoded together, with a
+    digit between them. A tokenizer for which that does not hold on `PROBES` encodes whole texts instead.
     """
 
     def __init__(self, path: str, most_bytes: int = 64 << 20) -> None:
@@ -79,49 +126,44 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.encode("0", add_special_tokens=False).ids
-        self.marks = {m: self.alone(m) for m in MARKS}
-        self.chunks, self.words = Memory(most_bytes), Memory(most_bytes // 2)
-        self.whole = False
-        self.whole = any(self.encode([p])[0].tobytes() != self.alone(p) for p in PROBES)
-
-    def alone(self, chunk: str) -> bytes:
-        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, new: set[str]) -> None:
-        """Add the ids of chunks: those of a word in lower case, and of a mark behind it."""
-        marks = self.marks
-        parts = [(c, c[:-1].lower(), marks[c[-1]]) if c[-1] in marks else (c, c.lower(), b"") for c in new if c.isascii() and (c.isalpha() or c[:-1].isalpha())]
-        other = new.difference([c for c, _, _ in parts])
-        marked = [(c, c[:-1], marks[c[-1]]) if c[-1] in marks else (c, c, b"") for c in other]
-        parts += [x for x in marked if x[1].isalpha() and len(x[1].lower()) == len(x[1]) and x[1].lower().isalpha()]
-        fresh = list(self.words.unknown({w for _, w, _ in parts}))
-        if len(self.between) == 1 and len(fresh) > 1:
-            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+        self.known, self.whole = Ids(most_bytes), False
+        self.whole = any(self.encode([p])[0].tobytes() != self.alone(p).tobytes() for p in PROBES)
+
+    def alone(self, chunk: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, new: list[str], letters: np.ndarray) -> list[np.ndarray]:
+        """The ids of units; those of words are found together."""
+        found: dict[int, np.ndarray] = {}
+        words = np.flatnonzero(letters)
+        if len(self.between) == 1 and len(words) > 1:
+            ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join([new[k] for k in words])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.between[0])
-            if len(cuts) == len(fresh) - 1:
-                whole, at = ids.tobytes(), (np.concatenate(([-1], cuts, [len(ids)])) * 4).tolist()
-                self.words.add({w: whole[x + 4 : y] for w, x, y in zip(fresh, at, at[1:], strict=False)})
-        words = self.words.young
-        self.words.add({w: self.alone(w) for w in fresh if w not in words})
-        found = {c: words[w] + m for c, w, m in parts}
-        found.update({c: self.alone(c) for c in other if c not in found})
-        self.chunks.add(found)
+            if len(cuts) == len(words) - 1:
+                at = np.concatenate(([-1], cuts, [len(ids)]))
+                found = {int(k): ids[a + 1 : b] for k, a, b in zip(words, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        return [found[k] if k in found else self.alone(w) for k, w in enumerate(new)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; what is new in any of them is learned together."""
-        if self.whole:
-            return [np.frombuffer(self.alone(t), "<u4") for t in texts]
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = self.chunks.unknown(set().union(*[set(own).difference(self.chunks.young) for own in split]))
-        new.discard("")
-        if new:
-            self.learn(new)
-        self.chunks.young[""] = b""  # between two blanks
-        get = self.chunks.young.__getitem__
-        out = [np.frombuffer(b"".join(map(get, own)), "<u4") for own in split]
-        self.chunks.age()
-        self.words.age()
-        return out
+        if self.whole or not texts:
+            return [self.alone(t) for t in texts]
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
+        low, starts, ends, letters = units(data)
+        keys, first, inverse = np.unique(run_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        new = np.flatnonzero(self.known.find(keys) < 0)
+        if len(new):
+            flat = low.tobytes()
+            named = [flat[starts[k] : ends[k]].decode("utf-8", "surrogatepass") for k in first[new]]
+            self.known.add(keys[new], self.learn(named, letters[first[new]]))
+        at = self.known.find(keys)
+        self.known.used[at] = self.known.clock
+        ids, many = self.known.gather(at[inverse])
+        self.known.age()
+        text_ends = np.cumsum([len(r) + 1 for r in raw])
+        counts = np.concatenate(([0], np.cumsum(many)))[np.searchsorted(starts, text_ends)]
+        return np.split(ids, counts[:-1])
 
 
 @lru_cache(maxsize=1)
@@ -130,13 +172,32 @@ def encoder_of(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
 
 
+def parts_of(text: str, most: int = 1_000_000) -> Iterator[str]:
+    """Runs of about `most` characters that end before a blank."""
+    first = 0
+    while len(text) - first > most:
+        last = max(text.rfind(" ", first + 1, first + most), text.rfind("\n", first + 1, first + most))
+        if last < 0:
+            further = [k for k in (text.find(" ", first + most), text.find("\n", first + most)) if k >= 0]
+            last = min(further, default=len(text))
+        yield text[first:last]
+        first = last
+    yield text[first:]
+
+
 def encoded(encoder: ChunkEncoder, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """The ids of all texts in turn, taken up in runs of about 200,000 characters."""
+    """The ids of all texts in turn, taken up in runs of about a million characters; a longer text in several."""
     held, size = [], 0
     for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= 200_000:
+        text = text or ""
+        if len(text) > 1_000_000 and not encoder.whole:
+            yield from encoder.encode(held)
+            held, size = [], 0
+            yield np.concatenate([encoder.encode([p])[0] for p in parts_of(text)])
+            continue
+        held.append(text)
+        size += len(text)
+        if size >= 1_000_000:
             yield from encoder.encode(held)
             held, size = [], 0
     yield from encoder.encode(held)

@@ -59,6 +59,14 @@ def chunks(texts: list) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of bytes [start, end) of a text."""
+    POWERS.grow(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * POWERS.up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * POWERS.down[starts])
+
+
 def placed_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of the texts in turn, where each text's words start (one more at the end), and each word's byte in its text."""
     raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
@@ -67,10 +75,7 @@ def placed_words(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = IS_SPACE[data]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], space)).view(np.int8)))
     starts, ends = edges[0::2], edges[1::2]
-    POWERS.grow(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * POWERS.up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * POWERS.down[starts])
+    hashes = run_hashes(data, starts, ends)
     bounds = np.concatenate(([0], np.searchsorted(starts, ends_of_text)))
     return hashes, bounds, starts - np.repeat(np.concatenate(([0], ends_of_text[:-1])), np.diff(bounds)) if len(texts) else starts
 
