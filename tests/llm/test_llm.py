@@ -511,17 +511,31 @@ def test_bin_completion_saves_bins():
     assert saved >= 20
 
 
-def test_encoder_keeps_to_its_budget():
-    encoder = packing.ChunkEncoder(packing.default_tokenizer(), most_bytes=100_000)
-    plain = packing.ChunkEncoder(packing.default_tokenizer())
+def test_encoder_keeps_to_its_budget_and_equals_the_tokenizer():
+    """Letters of one and two bytes, marks, digits, whatever else; remembered or not, in runs or not."""
+    encoder = packing.ChunkEncoder(packing.default_tokenizer(), most_bytes=20_000)
+    plain = encoder.tokenizer
+    ids = lambda t: plain.encode(t, add_special_tokens=False).ids
     rng = random.Random(2)
-    texts = [" ".join("".join(rng.choice("abcdé.,7") for _ in range(rng.randint(0, 9))) for _ in range(200)) for _ in range(30)]
-    for t in texts + texts[::-1]:
-        want = np.array(plain.tokenizer.encode(t, add_special_tokens=False).ids, "<u4")
-        assert np.array_equal(encoder.encode([t])[0], want) and np.array_equal(plain.encode([t])[0], want)
-        held = sum(packing.ENTRY_BYTES + len(k) + len(v) for d in (encoder.chunks.young, encoder.chunks.old) for k, v in d.items())
-        assert held < 100_000 + 2 * 200 * 300  # what one call adds goes at its end
-    assert len(encoder.chunks.young) < len(plain.chunks.young)
+    letters = "abcXYZéÀÞßñ÷×.,;!7 42'<>|@#-\t\n\x0b\x1c\x85…¿日本ŒœİK\u0301\u00a0𝔘ﬁ½²Ⅷ"
+    assert not encoder.whole
+    texts = ["".join(rng.choice(letters if k % 3 else "abcdé., ") for _ in range(rng.randint(0, 300))) for k in range(400)]
+    texts += ["", " ", "<|endoftext|> and <|startoftext|>x", "I'll we've it's", "\n".join(["end."] * 3)]
+    for k in range(0, len(texts), 9):
+        for t, got in zip(texts[k : k + 9], encoder.encode(texts[k : k + 9]), strict=True):
+            assert got.tolist() == ids(t), t
+        assert encoder.known.bytes < 20_000 + 9 * 300 * 60  # what one call adds goes at its end
+    assert encoder.known.clock > 40 and encoder.encode([]) == []
+    for t in texts[:200]:
+        parts = list(packing.parts_of(t, 40))
+        assert "".join(parts) == t and [i for p in parts for i in ids(p)] == ids(t)
+
+
+def test_long_texts_are_encoded_in_runs(monkeypatch):
+    encoder = packing.ChunkEncoder(packing.default_tokenizer())
+    texts = [None, "short", "a long text, " * 90_000, "", "z" * 1_100_000 + " end", "last"]
+    for t, got in zip(texts, packing.encoded(encoder, texts), strict=True):
+        assert got.tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
 def test_tokenizer_of_other_rules_encodes_whole_texts():
