@@ -86,7 +86,7 @@ def test_factor_nodes_are_shared_and_ranks_average_ties(spark):
 def test_power_and_choice_of_unknown_values(spark):
     df = spark.createDataFrame([("a", 1, -8.0, None), ("b", 1, 4.0, 1.0)], "symbol string, ts long, x double, y double")
     x, y = factors.column("x"), factors.column("y")
-    got = factors.add_factors(df, {"p": factors.power(x, 0.5), "c": factors.choose(y < 2, x, 0.0), "m": factors.emax(x, y)}).orderBy("symbol").collect()
+    got = factors.add_factors(df, {"p": factors.signedpower(x, 0.5), "c": factors.where(y < 2, x, 0.0), "m": factors.larger(x, y)}).orderBy("symbol").collect()
     assert [(r.p, r.c, r.m) for r in got] == [(None, None, None), (2.0, 4.0, 4.0)]
 
 
