@@ -78,3 +78,27 @@ def test_instruments(spark):
     }
     trusting = stories.resolve_instruments(events, universe, "event_id", "text", ["tickers"], require_mention=False).filter("event_id = 1").first()
     assert (trusting.instrument_id, trusting.entity_source, trusting.entity_confidence) == ("SOLUSDT", "publisher", 0.4)
+
+
+def test_kinds_sentiment_and_metrics(spark):
+    """The first kind that fits, terms at the start of words only, publishers' tags last, what is known by a time."""
+    from tidemill.operators import news
+
+    rows = [
+        (0, "Exchange WILL LIST abc", 1, "A", 0), (1, "Bridge hacked, token delisted", 0, "A", 50), (2, "the ranch bans nothing", None, "A", 3500), (3, "交易所上币 利好", 2, "A", 3601),
+        (4, None, 2, "B", 10), (5, "unlist", None, None, 10), (6, "rally, surge and crash", 2, "B", 5000), (7, "later", 1, "A", -5),
+    ]
+    df = spark.createDataFrame(rows, "event_id long, text string, tendency int, instrument_id string, age int").withColumn("available_time", F.timestamp_seconds(F.lit(1_000_000) - F.col("age")))
+    found = news.sentiment(news.classified(df, "text"), "text", tendency="tendency").withColumns({"is_duplicate": F.lit(False), "repost_count": F.col("event_id")})
+    got = {r.event_id: r for r in found.collect()}
+    assert [got[k].event_type for k in range(8)] == ["listing", "security_incident", "regulation", "listing", "unclassified", "unclassified", "unclassified", "unclassified"]
+    assert got[1].matched_terms == ["hack"] and got[2].matched_terms == ["ban"] and got[0].expected_half_life_seconds == 1800
+    assert [(got[k].sentiment_score, got[k].sentiment_confidence, got[k].sentiment_source, got[k].sentiment_label) for k in (0, 1, 3, 4, 5, 6)] == [
+        (0.6, 0.5, "event_type", "bullish"), (-0.94, 0.47, "lexicon", "bearish"), (0.88, 0.47, "lexicon", "bullish"), (-0.5, 0.3, "publisher", "neutral"),
+        (0.0, 0.0, "none", "neutral"), (0.2333, 0.71, "lexicon", "bullish"),
+    ]
+    assert [got[k].sentiment_disagrees_with_publisher for k in (0, 3, 6)] == [False, True, True]
+    metrics = {(r.instrument_id, r.metric): r.value for r in news.news_metrics(found, F.timestamp_seconds(F.lit(1_000_000)), {"1h": 3600}).collect()}
+    assert metrics["A", "news_count_1h"] == 3 and metrics["B", "news_count_1h"] == 1 and metrics["A", "news_seconds_since_last"] == 0
+    assert metrics["A", "news_bull_ratio_1h"] == pytest.approx(1 / 3) and metrics["A", "news_repost_max_1h"] == 2 and ("B", "news_bull_ratio_1h") not in metrics
+    assert news.news_metrics(found.limit(0)).count() == 0

@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.windows import series
+from tidemill.functions.windows import cross_above, cross_below, div, highest, lowest, prev, series, yes
 from tidemill.sources.shared import cut
 
 FAN = 64
@@ -141,6 +141,52 @@ def exits(bars: DataFrame, entries: DataFrame, stop: float | None = None, target
     return found.withColumn("exit", price).select("symbol", "k", "entry", "exit_k", "exit", "reason")
 
 
+def breakeven_exits(bars: DataFrame, entries: DataFrame, trigger: float, lock: float = 0.0, short: bool = False, out: str = "exit_k") -> DataFrame:
+    """Add to entries (symbol, k, entry) the first bar that closes back at `lock` of gain once the price has gained `trigger`.
+
+    Both are first passages: the trigger's by the best price from the entry bar on, the exit's by the close from the trigger's bar on.
+    """
+    up = -1.0 if short else 1.0
+    asked = entries.withColumns({"id": F.col("k"), "start": F.col("k"), "level": F.col("entry") * (1 + up * trigger)})
+    armed = first_passage(asked, bars, F.col("low" if short else "high"), "_armed", above=not short)
+    back = armed.withColumns({"start": F.col("_armed"), "level": F.col("entry") * (1 + up * lock)})
+    return first_passage(back, bars, F.col("close"), out, above=short).drop("id", "start", "level", "_armed")
+
+
+def partial_exits(bars: DataFrame, entries: DataFrame, targets: list[tuple[float, float]], short: bool = False) -> DataFrame:
+    """(symbol, k, stage, price, share, exit_k): for entries (symbol, k, entry) the first close at each level of gain, with the share that leaves there."""
+    up = -1.0 if short else 1.0
+    stages = F.explode(F.array(*[F.struct(F.lit(i).alias("stage"), F.lit(float(g)).alias("gain"), F.lit(float(s)).alias("share")) for i, (g, s) in enumerate(targets, 1)]))
+    asked = entries.select("symbol", "k", "entry", stages.alias("t")).select("symbol", "k", "t.stage", "t.share", (F.col("entry") * (1 + up * F.col("t.gain"))).alias("level"))
+    asked = asked.withColumns({"id": F.col("k") * len(targets) + F.col("stage") - 1, "start": F.col("k")})
+    found = first_passage(asked, bars, F.col("close"), "exit_k", above=not short)
+    return found.select("symbol", "k", "stage", F.col("level").alias("price"), "share", "exit_k")
+
+
+def swing_broken(n: int = 10, short: bool = False) -> Column:
+    """The close leaves the range of the n bars before, against the position."""
+    if short:
+        return yes(F.col("close") > highest("high", n, 1))
+    return yes(F.col("close") < lowest("low", n, 1))
+
+
+def gap_against(share: float = 0.01, short: bool = False) -> Column:
+    """The open stands at least so far from the last close, against the position."""
+    gap = F.coalesce(div(F.col("open") - prev("close"), prev("close")), F.lit(0.0))
+    return yes(gap >= share if short else gap <= -share)
+
+
+def closed_through(x: Column | str, short: bool = False) -> Column:
+    """The close lies beyond a line (a mean that trails the price), against the position."""
+    line = F.col(x) if isinstance(x, str) else x
+    return yes(F.col("close") > line if short else F.col("close") < line)
+
+
+def crossed_against(fast: str, slow: str, short: bool = False) -> Column:
+    """Two lines (means, or an oscillator and its signal) cross against the position."""
+    return cross_above(fast, slow) if short else cross_below(fast, slow)
+
+
 def _peaks(ended: DataFrame, bars: DataFrame, better: str, short: bool, fan: int = FAN) -> DataFrame:
     """(symbol, k, _peak): the best price from k to exit_k, from groups of bars: whole groups between, the ends by bars."""
     best = F.min if short else F.max

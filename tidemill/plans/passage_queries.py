@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidemill.functions import windows as W
 from tidemill.operators import passage
-from tidemill.plans.bar_queries import hourly, r
+from tidemill.plans.bar_queries import hourly, lag, r
 from tidemill.plans.relational_queries import CROSS, SERIES_SQL, STRUCTURE, crossed
 from tidemill.sources.bars import BARS_SQL
 
@@ -101,3 +103,34 @@ fb AS (SELECT kb.* FROM kb ANTI JOIN upb ON upb.symbol = kb.symbol AND upb.k = k
 SELECT symbol, ts, direction, block_ts, {r('top', 'top')}, {r('bottom', 'bottom')}, touched_ts FROM (SELECT * FROM up UNION ALL SELECT * FROM down)""")
 def order_blocks(spark, sf_dir):
     return W.rounded(passage.order_blocks(hourly(spark, sf_dir)), 6)
+
+
+@query("exit_rules", f"""WITH {CROSS} SELECT symbol, ts, coalesce(close < min(low) OVER p10 AND count(low) OVER p10 = 10, false) AS swing_long, coalesce(close > max(high) OVER p10 AND count(high) OVER p10 = 10, false) AS swing_short,
+  coalesce((open - {lag('close')}) / nullif({lag('close')}, 0), 0) <= -0.3 AS gap_long, coalesce((open - {lag('close')}) / nullif({lag('close')}, 0), 0) >= 0.3 AS gap_short,
+  coalesce(close < f, false) AS through_long, coalesce(close > f, false) AS through_short, coalesce({lag('f')} >= {lag('s')} AND f < s, false) AS cross_long, coalesce({lag('f')} <= {lag('s')} AND f > s, false) AS cross_short
+FROM x WINDOW p10 AS ({SERIES_SQL} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+def exit_rules(spark, sf_dir):
+    rules = {"swing": (passage.swing_broken, (10,)), "gap": (passage.gap_against, (0.3,)), "through": (passage.closed_through, ("f",)), "cross": (passage.crossed_against, ("f", "s"))}
+    columns = {f"{name}_{'short' if short else 'long'}": f(*args, short) for name, (f, args) in rules.items() for short in (False, True)}
+    return crossed(spark, sf_dir).select("symbol", "ts", *[v.alias(k) for k, v in columns.items()])
+
+
+STAGES = ((0.2, 0.5), (0.8, 0.3), (5.0, 0.2))
+
+
+@query("staged_exits", f"""WITH {CROSS}, bar AS (SELECT symbol, ts, open, high, low, close, enter, {NUMBERED} FROM x),
+e AS (SELECT b.symbol, b.k, b.ts, b.open AS entry FROM bar b JOIN bar p ON p.symbol = b.symbol AND p.k = b.k - 1 AND p.enter),
+t AS (SELECT * FROM (VALUES {', '.join(f'({i}, {gain}, {share})' for i, (gain, share) in enumerate(STAGES, 1))}) t(stage, gain, share)),
+a AS (SELECT e.symbol, e.k, e.entry, (SELECT min(j.k) FROM bar j WHERE j.symbol = e.symbol AND j.k >= e.k AND j.high >= e.entry * 1.5) AS armed FROM e)
+SELECT e.symbol, e.ts, stage, {r('e.entry * (1 + gain)', 'price')}, share, (SELECT min(j.ts) FROM bar j WHERE j.symbol = e.symbol AND j.k >= e.k AND j.close >= e.entry * (1 + gain)) AS exit_ts,
+  (SELECT min(j.ts) FROM bar j JOIN a ON a.symbol = e.symbol AND a.k = e.k WHERE j.symbol = e.symbol AND j.k >= a.armed AND j.close <= e.entry * 1.1) AS breakeven_ts
+FROM e CROSS JOIN t""")
+def staged_exits(spark, sf_dir):
+    bars = passage.cut(passage.numbered(crossed(spark, sf_dir)))
+    entries = bars.filter("enter").select("symbol", (F.col("k") + 1).alias("k")).join(bars.select("symbol", "k", F.col("open").alias("entry")), ["symbol", "k"])
+    times = bars.select("symbol", "k", "ts")
+    staged = passage.partial_exits(bars, entries, list(STAGES))
+    back = passage.breakeven_exits(bars, entries, 0.5, 0.1, out="back_k").select("symbol", "k", "back_k")
+    at = lambda name, to: times.select("symbol", F.col("k").alias(name), F.col("ts").alias(to))
+    found = staged.join(back, ["symbol", "k"]).join(times, ["symbol", "k"]).join(at("exit_k", "exit_ts"), ["symbol", "exit_k"], "left").join(at("back_k", "breakeven_ts"), ["symbol", "back_k"], "left")
+    return W.rounded(found.select("symbol", "ts", "stage", "price", "share", "exit_ts", "breakeven_ts"), 6)
