@@ -6,9 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from tidemill.plans import bar_queries, decision_queries, panel_queries, relational_queries
+from tidemill.plans import audit_queries, bar_queries, decision_queries, panel_queries, passage_queries, portfolio_queries, relational_queries, story_queries
 
-GROUPS = (bar_queries, panel_queries, relational_queries, decision_queries)
+GROUPS = (bar_queries, panel_queries, relational_queries, decision_queries, story_queries, portfolio_queries, passage_queries, audit_queries)
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 CASES = [(name, group) for group in GROUPS for name in group.SQL]
 

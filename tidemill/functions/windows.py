@@ -104,10 +104,6 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, [yes(x) for x in conditions])
 
 
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, [yes(x) for x in conditions])
-
-
 def rounded(df: DataFrame, digits: int = 8) -> DataFrame:
     """Doubles rounded for results that are compared between engines; -0.0 becomes 0.0."""
     return df.select(*[(F.round(F.col(f"`{n}`"), digits) + F.lit(0.0)).alias(n) if t == "double" else F.col(f"`{n}`") for n, t in df.dtypes])

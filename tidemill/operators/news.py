@@ -145,13 +145,6 @@ def tendency(text: Column, good: list[str], bad: list[str]) -> Column:
     return F.coalesce(F.try_divide((g - b).cast("double"), (g + b).cast("double")), F.lit(0.0))
 
 
-def first_of_copies(events: DataFrame, text: str, order: str) -> DataFrame:
-    """One event for each text (by its normal form), the earliest; with how many there were."""
-    key = F.sha2(F.array_join(tokens(F.col(text)), " "), 256)
-    got = events.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*events.columns), order).alias("_e"), F.count("*").alias("copies"))
-    return got.select("_e.*", "copies")
-
-
 def windowed_counts(events: DataFrame, now: Column, spans: dict[str, int], by: str, ts: str) -> DataFrame:
     """(by, n_<name>...): events within each span of seconds before now; one conditional aggregation."""
     age = now.cast("timestamp").cast("double") - F.col(ts).cast("timestamp").cast("double")

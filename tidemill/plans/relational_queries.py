@@ -216,7 +216,9 @@ def recurrent_indicators(spark, sf_dir):
     return W.rounded(df.select("symbol", "ts", *[o for k in wanted for o in recurrences.KERNELS[k][0]]), 5)
 
 
-@query("volume_bars")
+@query("volume_bars", f"""WITH k AS (SELECT event_type AS symbol, ts, event_id AS seq, CASE WHEN isfinite(value) THEN value END AS price, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS k FROM events)
+SELECT symbol, k // 25 AS bar, {r('arg_min(price, k) FILTER (WHERE price IS NOT NULL)', 'open')}, {r('max(price)', 'high')}, {r('min(price)', 'low')}, {r('arg_max(price, k) FILTER (WHERE price IS NOT NULL)', 'close')},
+  25::DOUBLE AS volume FROM k GROUP BY ALL HAVING count(*) = 25""")
 def volume_bars(spark, sf_dir):
     return W.rounded(recurrences.tick_bars(ticks(spark, sf_dir), 25.0), 6)  # ticks have quantity 1
 
