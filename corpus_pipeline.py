@@ -4,6 +4,12 @@ Every stage takes (spark, docs, sf_dir) and returns a table; all but the last re
 `documents`. No SQL gives the rows of a fitted classifier and of a packing, so ORACLE_SQL is None;
 tests hold the rows of the first three stages against plain versions. Mixing and packing are held to
 targets and kept texts by the tests of their operators only.
+
+Defined results: a null or empty text scores 0 and goes in the first stage, unless there are no labels to learn
+from (then nothing is rejected); further on it passes line dedup as it is, is linked with nothing and has size 0 in
+mixing; in packing it is the end id alone. Rows with a null id are rows of
+their own. Repeated rows are kept once by near-dedup. An empty table gives empty results; columns beyond those of
+`documents` go through all stages but the last.
 """
 
 from __future__ import annotations
