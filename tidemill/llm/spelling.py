@@ -7,9 +7,9 @@
 3. The index is dealt out by gram and length: a shard has the words of one length for which the gram is
    one of their first, and those of that length and of one less as its queries. Crowded shards are parted
    into tiles of two blocks of about `BLOCK` words.
-4. In a tile, the postings of all grams of a query under its length and position limits are merged on a
-   heap; since nearly all of them must agree, lists are skipped forward to the next word that may still
-   reach the bound on shared grams. What reaches it is verified.
+4. In a tile, postings of all grams of a query under its length and position limits are merged: since nearly
+   all must agree, a near word stands in one of the shortest few lists. These are merged on a heap, and the others
+   asked until the bound on shared grams is met or out of reach. What reaches it is verified.
 5. A pair counts in the shard of the first gram that both index. Tasks give one row for each word: how many
    near words it has there, and the most frequent; no pairs are shuffled.
 
@@ -28,6 +28,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,8 @@ BLOCK = 20_000
 GRAM_BITS = 18
 #: Counts that a task holds before it gives them away.
 HELD = 300_000
+#: What a word is in a tile: indexed and a query, indexed only, a query only.
+BOTH, HELD_ONLY, ASKS = range(3)
 #: Pads of a word's begin and end.
 BEGIN, END = "\x00", "\x01"
 
@@ -135,49 +138,63 @@ def one_edit(a: str, b: str) -> bool:
 def merged(lists: list[list[int]], least: int) -> Iterator[int]:
     """Numbers that stand in at least `least` of the rising lists.
 
-    The lists meet on a heap. A number that too few lists have can't reach the bound; then the least
-    - 1 lists in front are skipped to the number behind them, since no other number before it can.
+    A number that so many hold stands in one of the shortest len(lists) - least + 1. These are merged on a heap; the longer lists
+    are only asked, by bisection, until the bound is met or out of reach.
     """
-    heap = [(x[0], k, 0) for k, x in enumerate(lists)]
-    heapq.heapify(heap)
-    while len(heap) >= least:
-        front, popped = heap[0][0], []
-        while heap and heap[0][0] == front:
-            popped.append(heapq.heappop(heap))
-        if len(popped) >= least:
-            yield front
-            ahead = front + 1
-        else:
-            while heap and len(popped) < least - 1:
-                popped.append(heapq.heappop(heap))
-            if not heap:
-                return
-            ahead = heap[0][0]
-        for _, k, at in popped:
-            at = bisect_left(lists[k], ahead, at)
-            if at < len(lists[k]):
-                heapq.heappush(heap, (lists[k][at], k, at))
-
-
-def tile_pairs(gram: int, length: int, index: list[tuple], queries: list[tuple], width: int = WIDTH) -> Iterator[tuple[tuple, tuple]]:
-    """(query, indexed word) of all near pairs of a tile that belong to its gram.
-
-    Words are (word, n, first grams). Pairs of equal length come once for each of the two as query.
+    if len(lists) < least:
+        return
+    lists = sorted(lists, key=len)
+    few = len(lists) - least + 1
+    short, long, last, count = lists[:few], lists[few:], None, 0
+
+    def reaches(x: int, count: int) -> bool:
+        for k, own in enumerate(long):
+            if count >= least or count + len(long) - k < least:
+                break
+            at = bisect_left(own, x)
+            count += at < len(own) and own[at] == x
+        return count >= least
+
+    for x in heapq.merge(*short):
+        if x == last:
+            count += 1
+            continue
+        if last is not None and reaches(last, count):
+            yield last
+        last, count = x, 1
+    if last is not None and reaches(last, count):
+        yield last
+
+
+def tile_pairs(length: int, index: list[str], queries: list[str], width: int = WIDTH) -> Iterator[tuple[str, int]]:
+    """(query, place in the index) of all near pairs of a tile: queries have the length of the index or one less.
+
+    Pairs of equal length come once for each of the two as query. A query's gram at a place may stand at that place or, in a
+    longer word, one further on; `least` counts grams that agree, so a gram counts once wherever it stands.
     """
-    postings: dict[tuple[int, int], list[int]] = {}
-    for k, (word, _, _) in enumerate(index):
-        for place, code in enumerate(grams(word, width)):
-            postings.setdefault((place, code), []).append(k)
+    begin, end = BEGIN * (width - 1), END * (width - 1)
+    postings: list[dict[str, list[int]]] = [{} for _ in range(length + width)]
+    for k, word in enumerate(index):
+        padded = begin + word + end
+        for place in range(length + width - 1):
+            postings[place].setdefault(padded[place : place + width], []).append(k)
     least = length - 1  # of max length + width - 1 grams, one edit leaves all but `width`
-    for query in queries:
-        word, _, first = query
-        moves = (0,) if len(word) == length else (0, 1)
-        lists = [x for place, code in enumerate(grams(word, width)) for m in moves if (x := postings.get((place + m, code)))]
+    for word in queries:
+        padded = begin + word + end
+        if len(word) == length:
+            lists = [x for place in range(length + width - 1) if (x := postings[place].get(padded[place : place + width]))]
+        else:
+            lists = []
+            for place in range(length + width - 2):
+                gram = padded[place : place + width]
+                here, ahead = postings[place].get(gram), postings[place + 1].get(gram)
+                if here and ahead:
+                    lists.append(sorted({*here, *ahead}))
+                elif here or ahead:
+                    lists.append(here or ahead)
         for k in merged(lists, least):
-            if one_edit(word, index[k][0]):
-                others = set(index[k][2])
-                if next(c for c in first if c in others) == gram:
-                    yield query, index[k]
+            if one_edit(word, index[k]):
+                yield word, k
 
 
 def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -189,22 +206,25 @@ def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Data
 
     def posted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(w, n, len(w), indexed(grams(w, width), frequency.value, width)) for w, n in zip(batch["word"], batch["n"], strict=True)]
-            yield pd.DataFrame(rows, columns=["word", "n", "length", "first"])
-
-    entries = cut(words.select("word", "n").mapInPandas(posted, "word string, n bigint, length int, first array<int>"))
-    postings = entries.withColumn("gram", F.explode("first"))
-    crowded = cut(postings.groupBy("gram", "length").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"))
-    shards = postings.withColumns({"query": F.lit(False), "shard": F.col("length")})
-    asked = postings.withColumns({"query": F.lit(True), "shard": F.explode(F.array("length", F.col("length") + 1))})
-    rows = shards.unionByName(asked).join(small(crowded.withColumnRenamed("length", "shard")), ["gram", "shard"], "left")
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"left": F.when(F.col("query"), F.col("other")).otherwise(F.col("own")), "right": F.when(F.col("query"), F.col("own")).otherwise(F.col("other"))})
+            first = [indexed(grams(w, width), frequency.value, width) for w in batch["word"]]
+            yield batch.assign(length=[len(w) for w in batch["word"]], first=first)
+
+    entries = words.select("word", "n").mapInPandas(posted, "word string, n bigint, length int, first array<int>")
+    postings = cut(entries.select("word", "n", "length", F.explode("first").alias("gram")))
+    crowded = cut(postings.groupBy("gram", F.col("length").alias("shard")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"))
+    # a word is indexed at its own length, and asks there and at the next
+    rows = postings.withColumn("r", F.explode(F.array(F.struct(F.col("length").alias("shard"), F.lit(BOTH).alias("role")), F.struct((F.col("length") + 1).alias("shard"), F.lit(ASKS).alias("role")))))
+    rows = rows.select("gram", "r.shard", "r.role", "word", "n").join(small(crowded), ["gram", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    held = F.transform(every, lambda k: F.struct(own.alias("left"), k.alias("right"), F.when(k == own, F.lit(BOTH)).otherwise(F.lit(HELD_ONLY)).alias("role")))
+    asked = F.transform(every, lambda k: F.struct(k.alias("left"), own.alias("right"), F.lit(ASKS).alias("role")))
+    tiled = F.when(F.col("role") == ASKS, asked).otherwise(F.concat(held, F.filter(asked, lambda t: t["left"] != own)))
     key = ["gram", "shard", "left", "right"]
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, index, queries, found = None, [], [], {}
+        first_of = lru_cache(maxsize=100_000)(lambda word: indexed(grams(word, width), frequency.value, width))
+        now, index, queries, count, found = None, [], [], {}, {}
 
         def credit(word: str, near: str, n: int) -> None:
             have = found.get(word)
@@ -216,30 +236,38 @@ def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Data
                     have[1:] = -n, near
 
         def finish() -> None:
-            for a, b in tile_pairs(now[0], now[1], index, queries, width):
-                credit(a[0], b[0], b[1])
-                if len(a[0]) < len(b[0]):
-                    credit(b[0], a[0], a[1])
+            if not index or not queries or index == queries and len(index) == 1:
+                return
+            for word, k in tile_pairs(now[1], index, queries, width):
+                other = index[k]
+                theirs = first_of(other)
+                if next(c for c in first_of(word) if c in theirs) == now[0]:
+                    credit(word, other, count[other])
+                    if len(word) < len(other):
+                        credit(other, word, count[word])
 
         def given() -> pd.DataFrame:
             return pd.DataFrame({"word": list(found), "n_near": [x[0] for x in found.values()], "near_n": [-x[1] for x in found.values()], "near": [x[2] for x in found.values()]})
 
         for batch in batches:
-            for gram, shard, left, right, query, word, n, first in batch.itertuples(index=False, name=None):
-                if (gram, shard, left, right) != now:
-                    if index and queries:
-                        finish()
+            for tile, role, word, n in zip(zip(*[batch[c].tolist() for c in key], strict=True), batch["role"].tolist(), batch["word"].tolist(), batch["n"].tolist(), strict=True):
+                if tile != now:
+                    finish()
                     if len(found) >= HELD:
                         yield given()
                         found.clear()
-                    now, index, queries = (gram, shard, left, right), [], []
-                (queries if query else index).append((word, n, list(first)))
-        if index and queries:
-            finish()
+                    now, index, queries, count = tile, [], [], {}
+                count[word] = n
+                if role != ASKS:
+                    index.append(word)
+                if role != HELD_ONLY:
+                    queries.append(word)
+        finish()
         if found:
             yield given()
 
-    dealt = rows.select(*key, "query", "word", "n", "first").repartition(*key).sortWithinPartitions(*key, "query")
+    dealt = rows.select("gram", "shard", F.explode(tiled).alias("t"), "word", "n").select("gram", "shard", "t.left", "t.right", "t.role", "word", "n")
+    dealt = dealt.repartition(*key).sortWithinPartitions(*key)
     parts = dealt.mapInPandas(tiles, "word string, n_near bigint, near_n bigint, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     return parts.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best")).select("word", "n_near", F.col("best.near").alias("near"), (-F.col("best.less")).alias("near_n"))
