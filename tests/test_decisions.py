@@ -108,11 +108,15 @@ def test_bootstrap_repeats_itself(spark):
 
 
 def test_walked_forward_covers_what_follows(ledger):
-    got = evaluation.walked_forward(ledger, 60, 30).orderBy("window").collect()
-    assert [r.window for r in got] == [0, 1, 2, 3] and all(r.n <= 30 for r in got)
+    got = evaluation.walked_forward(ledger, 60, 30, embargo=0).orderBy("window").collect()
+    instants = ledger.select("ts").distinct().count()
+    assert [r.window for r in got] == list(range((instants - 90) // 30 + 1)) and all(r.n <= 30 for r in got)  # whole windows only
     by = {}
     for r in ledger.orderBy("ts").collect():
         by.setdefault(r.trial, []).append(r.ret)
     best = max(sorted(by), key=lambda t: plain_sharpe(by[t][30:90]))
     rest = [v for v in by[best][90:120] if v is not None]
     assert got[1].trial == best and abs(got[1].total - sum(rest)) < 1e-9
+    later = evaluation.walked_forward(ledger, 60, 30, embargo=7).filter("window = 1").first()
+    rest = [v for v in by[best][97:127] if v is not None]
+    assert later.trial == best and later.n == len(rest) and abs(later.total - sum(rest)) < 1e-9
