@@ -66,11 +66,11 @@ def target_weights(spark, sf_dir):
     return W.rounded(chosen(spark, sf_dir), 6)
 
 
-@query("turnover", f"""{WEIGHTS}, o AS (SELECT symbol, k / 3 AS k, weight FROM chosen),
+@query("book_turnover", f"""{WEIGHTS}, o AS (SELECT symbol, k / 3 AS k, weight FROM chosen),
 m AS (SELECT coalesce(a.k, b.k + 1) AS k, coalesce(a.weight, 0) AS w, coalesce(b.weight, 0) AS b FROM o a FULL JOIN o b ON a.symbol = b.symbol AND a.k = b.k + 1)
 SELECT ts, {r('sum(abs(w))', 'gross')}, {r('sum(w)', 'net')}, count(*) FILTER (WHERE w <> 0) AS names, {r('sum(abs(w - b)) / 2', 'turnover')}
 FROM m JOIN instants i ON i.k = m.k * 3 GROUP BY ts""")
-def turnover(spark, sf_dir):
+def book_turnover(spark, sf_dir):
     return W.rounded(P.turnover(chosen(spark, sf_dir)), 6)
 
 
