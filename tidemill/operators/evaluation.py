@@ -24,35 +24,52 @@ EULER = 0.5772156649015329
 
 def clipped_by_deviation(df: DataFrame, x: str, scale: float = 3.0, out: str | None = None, by: str = "ts") -> DataFrame:
     """Values held within `scale` median absolute deviations of the median of their instant."""
-    middle = df.groupBy(by).agg(F.median(x).alias("_middle"))
-    placed = df.join(middle, by)
-    spread = placed.groupBy(by).agg(F.median(F.abs(F.col(x) - F.col("_middle"))).alias("_spread"))
+    middle = df.groupBy(F.col(by).alias("_by")).agg(F.median(x).alias("_middle"))
+    placed = df.join(middle, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")  # an unknown instant is one too
+    spread = placed.groupBy(F.col(by).alias("_by")).agg(F.median(F.abs(F.col(x) - F.col("_middle"))).alias("_spread"))
     low, high = F.col("_middle") - scale * F.col("_spread"), F.col("_middle") + scale * F.col("_spread")
     held = F.when(F.col(x).isNotNull(), F.greatest(low, F.least(F.col(x), high)))
-    return placed.join(spread, by).withColumn(out or x, held).drop("_middle", "_spread")
+    return placed.join(spread, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out or x, held).drop("_by", "_middle", "_spread")
 
 
-def pooled_relation(df: DataFrame, signal: str, target: str, by: str = "ts") -> DataFrame:
-    """One row: correlation and slope over all pairs, each instant counting once, and the numbers of instants and pairs."""
-    x, y = F.col(signal), F.col(target)
-    moments = df.filter(x.isNotNull() & y.isNotNull()).groupBy(by).agg(
-        F.avg(x).alias("x"), F.avg(y).alias("y"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy"), F.count("*").alias("n")
-    )
-    m = moments.agg(*[F.avg(k).alias(k) for k in ("x", "y", "xx", "yy", "xy")], F.count("*").alias("n_instants"), F.sum("n").alias("n_pairs"))
+def moments_of(x: Column, y: Column) -> list[Column]:
+    """Means of an instant over its pairs, and their number; NULL without a pair."""
+    both = x.isNotNull() & y.isNotNull()
+    mean = lambda v, name: F.avg(F.when(both, v)).alias(name)
+    return [mean(x, "x"), mean(y, "y"), mean(x * x, "xx"), mean(y * y, "yy"), mean(x * y, "xy"), F.count_if(both).alias("n")]
+
+
+def pooled() -> tuple[Column, Column]:
+    """Correlation and slope from mean moments x, y, xx, yy, xy."""
     cov = F.col("xy") - F.col("x") * F.col("y")
     vx, vy = F.col("xx") - F.col("x") * F.col("x"), F.col("yy") - F.col("y") * F.col("y")
-    corr = F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy))))
-    return m.select(corr.alias("corr"), F.when(vx > 0, div(cov, vx)).alias("slope"), "n_instants", "n_pairs")
+    return F.when((vx > 0) & (vy > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy)))), F.when(vx > 0, div(cov, vx))
 
 
-def bootstrap_mean(series: DataFrame, x: str, draws: int = 200, length: int | None = None, start=None, seed: int = 0, confidence: float = 0.95, ts: str = "ts") -> DataFrame:
-    """One row: mean, its interval by moving blocks of successive instants, and the numbers used.
+def pooled_relation(df: DataFrame, signal: str, target: str, by: str = "ts") -> DataFrame:
+    """One row: correlation and slope over all pairs, each instant counting once, and the numbers of instants and pairs."""
+    moments = df.groupBy(by).agg(*moments_of(F.col(signal), F.col(target))).filter("n > 0")
+    m = moments.agg(*[F.avg(k).alias(k) for k in ("x", "y", "xx", "yy", "xy")], F.count("*").alias("n_instants"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"))
+    corr, slope = pooled()
+    return m.select(corr.alias("corr"), slope.alias("slope"), "n_instants", "n_pairs")
+
+
+def on_grid(series: DataFrame, step: float, ts: str = "ts") -> DataFrame:
+    """A series (one row per instant) with the instants of a regular grid that it leaves out, as rows of NULLs."""
+    size = int(step * 1_000_000)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    ends = series.agg(F.min(at).alias("a"), F.max(at).alias("b")).filter("a is not null")
+    grid = ends.select(F.explode(F.sequence("a", "b", F.lit(size))).alias("_at"))
+    joined = grid.join(series.withColumn("_own", at), F.col("_at") == F.col("_own"), "left")
+    return joined.select(*[F.timestamp_micros("_at").alias(c) if c == ts else F.col(f"`{c}`") for c in series.columns])
 
-    The series has one row per instant. `start(draw, block, choices)` picks the first instant of a
-    block; a hash does so by default. Draws join the numbered instants, NULLs keep their place.
+
+def _draws(series: DataFrame, columns: tuple[str, ...], draws: int, length: int | None, start, seed: int, ts: str) -> tuple[DataFrame, DataFrame]:
+    """The numbered series, and (draw, columns...): the mean of each column over the instants of each draw.
+
+    Draws take moving blocks of successive instants, shared by all columns; instants without a value keep their place.
     """
-    spark = series.sparkSession
-    numbered = series.select(ts, x).withColumn("k", F.row_number().over(Window.orderBy(ts)) - 1).select("k", F.col(x).alias("x"))
+    numbered = series.select(ts, *columns).withColumn("k", F.row_number().over(Window.orderBy(ts)) - 1).drop(ts)  # one row per instant
     n = series.count()
     length = length or max(1, round(-(-(max(n, 1) ** (1 / 3)) // 1)))
     blocks, choices = -(-n // length), n - length + 1
@@ -60,18 +77,46 @@ def bootstrap_mean(series: DataFrame, x: str, draws: int = 200, length: int | No
         raise ValueError("a bootstrap needs at least two whole blocks")
     pick = start or (lambda d, b, m: F.pmod(F.xxhash64(d, b, F.lit(seed)), m))
     drawn = (
-        spark.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        series.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
         .withColumn("first", pick(F.col("draw"), F.col("block").cast("long"), F.lit(choices)))
         .select("draw", "block", F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("step"), "first")
         .filter(F.col("block") * length + F.col("step") < n).select("draw", (F.col("first") + F.col("step")).alias("k"))
     )
-    means = drawn.join(numbered, "k").groupBy("draw").agg(F.avg("x").alias("m"))
+    return numbered, drawn.join(numbered, "k").groupBy("draw").agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def _interval(x: str, confidence: float, low: str = "low", high: str = "high") -> list[Column]:
     tail = (1 - confidence) / 2
-    ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.count("m").alias("draws"))
+    return [F.percentile(x, F.lit(tail)).alias(low), F.percentile(x, F.lit(1 - tail)).alias(high)]
+
+
+def bootstrap_mean(series: DataFrame, x: str, draws: int = 200, length: int | None = None, start=None, seed: int = 0, confidence: float = 0.95, ts: str = "ts", step: float | None = None) -> DataFrame:
+    """One row: mean, its interval by moving blocks of successive instants, and the numbers used.
+
+    The series has one row per instant; with `step`, instants of a grid of so many seconds that it leaves out are put back first.
+    `start(draw, block, choices)` picks the first instant of a block; a hash does so by default.
+    """
+    series = on_grid(series, step, ts) if step else series
+    numbered, means = _draws(series.select(ts, F.col(x).alias("x")), ("x",), draws, length, start, seed, ts)
+    ends = means.agg(*_interval("x", confidence), F.count("x").alias("draws"))
     whole = numbered.agg(F.lit(1).alias("_one"), F.avg("x").alias("mean"), F.count("x").alias("n"))
     return whole.join(ends.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
+def pooled_interval(df: DataFrame, signal: str, target: str, draws: int = 200, length: int | None = None, start=None, seed: int = 0, confidence: float = 0.95, step: float | None = None, ts: str = "ts") -> DataFrame:
+    """One row: `pooled_relation` with intervals of correlation and slope, by the same blocks of instants for all moments.
+
+    Instants without a pair keep their place in the blocks; with `step`, left-out ones are put back.
+    """
+    moments = df.groupBy(ts).agg(*moments_of(F.col(signal), F.col(target)))
+    moments = on_grid(moments, step, ts) if step else moments
+    names = ("x", "y", "xx", "yy", "xy")
+    _, means = _draws(moments, names, draws, length, start, seed, ts)
+    corr, slope = pooled()
+    ends = means.select(corr.alias("c"), slope.alias("s")).agg(*_interval("c", confidence, "corr_low", "corr_high"), *_interval("s", confidence, "slope_low", "slope_high"))
+    return pooled_relation(df, signal, target, ts).withColumn("_one", F.lit(1)).join(ends.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def sharpe(n: Column, total: Column, squares: Column) -> Column:
     """Yearly Sharpe ratio from the number, sum and sum of squares of daily returns; NULL with too few or without spread."""
     spread = F.sqrt(F.greatest(F.lit(0.0), (squares - total * total / n) / (n - 1)))
@@ -124,10 +169,13 @@ def sums_by_block(ledger: DataFrame, blocks: int) -> DataFrame:
     return ledger.filter("ret is not null").join(dealt, "ts").groupBy("trial", "block").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("q"))
 
 
-def splits_of(ledger: DataFrame, blocks: int = 10) -> DataFrame:
-    """(split, trial, share): for every half of the blocks the trial that is best there, and its rank share in the other half."""
-    if blocks % 2:
-        raise ValueError("the number of blocks must be even")
+def splits_of(ledger: DataFrame, blocks: int = 10, points: DataFrame | None = None, axes: int = 0) -> DataFrame:
+    """(split, trial, share): for every half of the blocks the trial that is best there, and its rank share in the other half.
+
+    With `points` (trial, place) the best is that of the best plateau on the lattice. Splits double with each block: 16 blocks at most.
+    """
+    if blocks % 2 or blocks > 16:
+        raise ValueError("the number of blocks must be even and 16 at most")
     halves = ledger.sparkSession.range(1 << blocks).filter(F.bit_count("id") == blocks // 2).select(F.col("id").cast("int").alias("split"))
     sums = sums_by_block(ledger, blocks)
     sides = halves.select("split", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("inside", F.getbit(F.col("split"), F.col("block")) == 1)
@@ -137,7 +185,10 @@ def splits_of(ledger: DataFrame, blocks: int = 10) -> DataFrame:
         .groupBy("split", "trial")
         .agg(sharpe(*[part(x, True) for x in "nsq"]).alias("own"), sharpe(*[part(x, False) for x in "nsq"]).alias("other"))
     )
-    picked = both.filter("own is not null").groupBy("split").agg(F.min_by("trial", F.struct(-F.col("own"), F.col("trial"))).alias("trial"))
+    if points is None:
+        picked = both.filter("own is not null").groupBy("split").agg(F.min_by("trial", F.struct(-F.col("own"), F.col("trial"))).alias("trial"))
+    else:
+        picked = best_trials(both.select("split", "trial", F.col("own").alias("score")), 1, points, axes, ("split",)).select("split", "trial")
     chosen = picked.join(both.select("split", "trial", F.col("other").alias("mine")), ["split", "trial"]).filter("mine is not null")
     ranked = both.filter("other is not null").join(chosen, "split").groupBy("split", chosen["trial"]).agg(
         F.count("*").alias("n"), F.count_if(F.col("other") < F.col("mine")).alias("less"), F.count_if(F.col("other") == F.col("mine")).alias("same")
@@ -146,9 +197,9 @@ def splits_of(ledger: DataFrame, blocks: int = 10) -> DataFrame:
     return ranked.filter("n >= 2").select("split", "trial", F.least(F.lit(1 - 1e-6), F.greatest(F.lit(1e-6), share)).alias("share"))
 
 
-def overfitting(ledger: DataFrame, blocks: int = 10) -> DataFrame:
-    """One row: the share of splits in which the best trial of one half is no better than the median of the other."""
-    return splits_of(ledger, blocks).agg(F.avg((F.col("share") <= 0.5).cast("int")).alias("pbo"), F.count("*").alias("n_splits"), F.median("share").alias("median_share"))
+def overfitting(ledger: DataFrame, blocks: int = 10, points: DataFrame | None = None, axes: int = 0) -> DataFrame:
+    """One row: the share of splits in which the trial chosen in one half (the best, or with `points` that of the best plateau) is no better than the median of the other."""
+    return splits_of(ledger, blocks, points, axes).agg(F.avg((F.col("share") <= 0.5).cast("int")).alias("pbo"), F.count("*").alias("n_splits"), F.median("share").alias("median_share"))
 
 
 def smoothed(scores: DataFrame, points: DataFrame, axes: int, by: tuple[str, ...] = (), least: float = 0.5) -> DataFrame:

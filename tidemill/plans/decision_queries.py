@@ -321,3 +321,55 @@ c AS (SELECT x.trial AS a, y.trial AS b, CASE WHEN x.d * y.d > 1e-14 THEN (coale
 SELECT (SELECT count(*) FROM m) AS n_trials, {r('power((SELECT count(*) FROM m WHERE d > 1e-14), 2) / sum(c * c)', 'effective')} FROM c""")
 def effective_trials(spark, sf_dir):
     return W.rounded(evaluation.effective_trials(ledger(spark, sf_dir)), 6)
+
+
+@query("overfitting_plateau", f"""WITH {LEDGER}, i AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM l)),
+d AS (SELECT ts, CASE WHEN k < (n % 8) * (n // 8 + 1) THEN k // (n // 8 + 1) ELSE (k - (n % 8) * (n // 8 + 1)) // (n // 8) + n % 8 END AS block FROM i),
+s AS (SELECT trial, block, count(*) AS n, sum(ret) AS s, sum(ret * ret) AS q FROM l JOIN d USING (ts) WHERE ret IS NOT NULL GROUP BY ALL),
+m AS (SELECT split, trial, {sharpe(_PART('n', _IN), _PART('s', _IN), _PART('q', _IN))} AS own, {sharpe(_PART('n', _OUT), _PART('s', _OUT), _PART('q', _OUT))} AS other
+  FROM s, (SELECT range AS split FROM range(256) WHERE bit_count(range) = 4) GROUP BY ALL),
+scores AS (SELECT split AS win, trial, own AS score FROM m), {POINTS}, {PLATEAU},
+p AS (SELECT win AS split, trial FROM plateau QUALIFY row_number() OVER (PARTITION BY win ORDER BY mean DESC, trial) = 1),
+c AS (SELECT split, trial, other AS mine FROM p JOIN m USING (split, trial) WHERE other IS NOT NULL),
+k AS (SELECT c.split, count(*) AS n, count(*) FILTER (WHERE other < mine) AS less, count(*) FILTER (WHERE other = mine) AS same FROM c JOIN m ON m.split = c.split AND m.other IS NOT NULL GROUP BY c.split),
+w AS (SELECT (less + (same + 1) / 2) / (n + 1) AS share FROM k WHERE n >= 2)
+SELECT {r('avg(CAST(share <= 0.5 AS INTEGER))', 'pbo')}, count(*) AS n_splits, {r('median(share)', 'median_share')} FROM w""")
+def overfitting_plateau(spark, sf_dir):
+    rows = ledger(spark, sf_dir)
+    return W.rounded(evaluation.overfitting(rows, 8, lattice(rows), 2), 6)
+
+
+#: Weeks of which each fifth is left out, and how draws pick the first of the weeks of a block (length 8).
+KEPT = "CAST(floor(epoch(ts) / 604800) AS BIGINT) % 5 <> 2"
+GRID = f"""g AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS k FROM (SELECT unnest(generate_series((SELECT min(ts) FROM m), (SELECT max(ts) FROM m), INTERVAL 7 DAY)) AS ts)), c AS (SELECT count(*) AS n FROM g),
+s AS (SELECT d.range AS draw, (d.range * 7919 + b.range * 104729) % (c.n - 8 + 1) + t.range AS k FROM c, range(100) d, range(CAST(ceil(c.n / 8.0) AS BIGINT)) b, range(8) t WHERE b.range * 8 + t.range < c.n)"""
+
+
+def kept_weeks(df):
+    return df.filter(F.pmod(F.floor(F.unix_micros("ts") / 604_800_000_000), F.lit(5)) != 2)
+
+
+def first_of_block(d, b, m):
+    return (d * 7919 + b * 104729) % m
+
+
+@query("pooled_interval", f"""WITH {PANEL}, f AS (SELECT ret AS x, lead(ret) OVER ({SERIES}) AS y, ts FROM panel),
+m AS (SELECT ts, avg(x) AS x, avg(y) AS y, avg(x * x) AS xx, avg(y * y) AS yy, avg(x * y) AS xy, count(x) AS n FROM
+  (SELECT ts, CASE WHEN y IS NOT NULL THEN x END AS x, CASE WHEN x IS NOT NULL THEN y END AS y FROM f WHERE {KEPT}) GROUP BY ts), {GRID},
+t AS (SELECT avg(x) AS x, avg(y) AS y, avg(xx) AS xx, avg(yy) AS yy, avg(xy) AS xy, count(*) AS n_instants, CAST(sum(n) AS BIGINT) AS n_pairs FROM m WHERE n > 0),
+b AS (SELECT draw, avg(x) AS x, avg(y) AS y, avg(xx) AS xx, avg(yy) AS yy, avg(xy) AS xy FROM s JOIN g USING (k) LEFT JOIN m USING (ts) GROUP BY draw),
+e AS (SELECT (xy - x * y) / sqrt((xx - x * x) * (yy - y * y)) AS c, (xy - x * y) / (xx - x * x) AS s FROM b)
+SELECT {r('(xy - x * y) / sqrt((xx - x * x) * (yy - y * y))', 'corr')}, {r('(xy - x * y) / (xx - x * x)', 'slope')}, n_instants, n_pairs,
+  {r('(SELECT quantile_cont(c, 0.025) FROM e)', 'corr_low')}, {r('(SELECT quantile_cont(c, 0.975) FROM e)', 'corr_high')}, {r('(SELECT quantile_cont(s, 0.025) FROM e)', 'slope_low')}, {r('(SELECT quantile_cont(s, 0.975) FROM e)', 'slope_high')} FROM t""")
+def pooled_interval(spark, sf_dir):
+    df = panel(spark, sf_dir).withColumn("x", W.change("close"))
+    df = kept_weeks(df.withColumn("y", F.lead("x").over(W.series())))
+    return W.rounded(evaluation.pooled_interval(df, "x", "y", 100, 8, first_of_block, step=604800), 6)
+
+
+@query("bootstrap_grid", f"""WITH {LEDGER}, m AS (SELECT ts, avg(ret) AS x FROM l WHERE {KEPT} GROUP BY ts), {GRID},
+b AS (SELECT draw, avg(x) AS x FROM s JOIN g USING (k) LEFT JOIN m USING (ts) GROUP BY draw)
+SELECT {r('(SELECT avg(x) FROM m)', 'mean')}, (SELECT count(x) FROM m) AS n, {r('quantile_cont(x, 0.025)', 'low')}, {r('quantile_cont(x, 0.975)', 'high')}, count(x) AS draws FROM b""")
+def bootstrap_grid(spark, sf_dir):
+    weeks = kept_weeks(ledger(spark, sf_dir)).groupBy("ts").agg(F.avg("ret").alias("x"))
+    return W.rounded(evaluation.bootstrap_mean(weeks, "x", 100, 8, first_of_block, step=604800), 6)
