@@ -28,7 +28,6 @@ import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -210,11 +209,12 @@ def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Data
             yield batch.assign(length=[len(w) for w in batch["word"]], first=first)
 
     entries = words.select("word", "n").mapInPandas(posted, "word string, n bigint, length int, first array<int>")
-    postings = cut(entries.select("word", "n", "length", F.explode("first").alias("gram")))
+    placed = entries.select("word", "n", "length", "first", F.posexplode("first").alias("at", "gram"))
+    postings = cut(placed.select("word", "n", "length", "gram", F.slice("first", F.lit(1), F.col("at")).alias("rarer")))
     crowded = cut(postings.groupBy("gram", F.col("length").alias("shard")).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1"))
     # a word is indexed at its own length, and asks there and at the next
     rows = postings.withColumn("r", F.explode(F.array(F.struct(F.col("length").alias("shard"), F.lit(BOTH).alias("role")), F.struct((F.col("length") + 1).alias("shard"), F.lit(ASKS).alias("role")))))
-    rows = rows.select("gram", "r.shard", "r.role", "word", "n").join(small(crowded), ["gram", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.select("gram", "r.shard", "r.role", "word", "n", "rarer").join(small(crowded), ["gram", "shard"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int")
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     held = F.transform(every, lambda k: F.struct(own.alias("left"), k.alias("right"), F.when(k == own, F.lit(BOTH)).otherwise(F.lit(HELD_ONLY)).alias("role")))
@@ -223,8 +223,7 @@ def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Data
     key = ["gram", "shard", "left", "right"]
 
     def tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first_of = lru_cache(maxsize=100_000)(lambda word: indexed(grams(word, width), frequency.value, width))
-        now, index, queries, count, found = None, [], [], {}, {}
+        now, index, queries, known, found = None, [], [], {}, {}
 
         def credit(word: str, near: str, n: int) -> None:
             have = found.get(word)
@@ -240,24 +239,26 @@ def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Data
                 return
             for word, k in tile_pairs(now[1], index, queries, width):
                 other = index[k]
-                theirs = first_of(other)
-                if next(c for c in first_of(word) if c in theirs) == now[0]:
-                    credit(word, other, count[other])
+                (n, rarer), (m, others) = known[word], known[other]
+                # a rarer gram that both index is where the pair counts
+                if not len(rarer) or not len(others) or set(rarer.tolist()).isdisjoint(others.tolist()):
+                    credit(word, other, m)
                     if len(word) < len(other):
-                        credit(other, word, count[word])
+                        credit(other, word, n)
 
         def given() -> pd.DataFrame:
             return pd.DataFrame({"word": list(found), "n_near": [x[0] for x in found.values()], "near_n": [-x[1] for x in found.values()], "near": [x[2] for x in found.values()]})
 
         for batch in batches:
-            for tile, role, word, n in zip(zip(*[batch[c].tolist() for c in key], strict=True), batch["role"].tolist(), batch["word"].tolist(), batch["n"].tolist(), strict=True):
+            columns = [batch[c].tolist() for c in ("role", "word", "n", "rarer")]
+            for tile, role, word, n, rarer in zip(zip(*[batch[c].tolist() for c in key], strict=True), *columns, strict=True):
                 if tile != now:
                     finish()
                     if len(found) >= HELD:
                         yield given()
                         found.clear()
-                    now, index, queries, count = tile, [], [], {}
-                count[word] = n
+                    now, index, queries, known = tile, [], [], {}
+                known[word] = n, rarer
                 if role != ASKS:
                     index.append(word)
                 if role != HELD_ONLY:
@@ -266,7 +267,7 @@ def near_words(words: DataFrame, width: int = WIDTH, block: int = BLOCK) -> Data
         if found:
             yield given()
 
-    dealt = rows.select("gram", "shard", F.explode(tiled).alias("t"), "word", "n").select("gram", "shard", "t.left", "t.right", "t.role", "word", "n")
+    dealt = rows.select("gram", "shard", F.explode(tiled).alias("t"), "word", "n", "rarer").select("gram", "shard", "t.left", "t.right", "t.role", "word", "n", "rarer")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
     parts = dealt.mapInPandas(tiles, "word string, n_near bigint, near_n bigint, near string")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
