@@ -120,3 +120,31 @@ def test_walked_forward_covers_what_follows(ledger):
     later = evaluation.walked_forward(ledger, 60, 30, embargo=7).filter("window = 1").first()
     rest = [v for v in by[best][97:127] if v is not None]
     assert later.trial == best and later.n == len(rest) and abs(later.total - sum(rest)) < 1e-9
+
+
+def test_grid_puts_left_out_instants_back(spark):
+    series = spark.sql("SELECT timestamp_seconds(k * 10) AS ts, x FROM VALUES (0, 1.0D), (1, NULL), (4, 5.0D) AS t(k, x)")
+    assert [(int(r.ts.timestamp()), r.x) for r in evaluation.on_grid(series, 10).orderBy("ts").collect()] == [(0, 1.0), (10, None), (20, None), (30, None), (40, 5.0)]
+    assert evaluation.on_grid(series.limit(0), 10).count() == 0
+    found = evaluation.bootstrap_mean(series, "x", 40, 2, step=10).first()
+    assert found.n == 2 and found.mean == 3.0 and 1.0 <= found.low <= found.high <= 5.0
+
+
+def test_pooled_interval_holds_the_relation(spark):
+    rows = [(f"S{k}", t, float((k * 7 + t * 3) % 11), float((k * 7 + t * 3) % 11) * 2 + (k + t) % 5) for t in range(30) for k in range(6)]
+    df = spark.createDataFrame(rows + [("S9", 30, None, 1.0)], "symbol string, t long, x double, y double").selectExpr("symbol", "timestamp_seconds(t * 86400) AS ts", "x", "y")
+    r = evaluation.pooled_interval(df, "x", "y", 60, 4, step=86400).first()
+    plain = evaluation.pooled_relation(df, "x", "y").first()
+    assert (r.corr, r.slope, r.n_instants, r.n_pairs) == (plain.corr, plain.slope, 30, 180)
+    assert r.corr_low <= r.corr <= r.corr_high and r.slope_low < r.slope < r.slope_high and abs(r.slope - 2) < 0.3
+
+
+def test_plateau_rule_of_overfitting(ledger):
+    """Trials in a row: with plateaus, a split takes a trial whose neighbours are good too."""
+    names = sorted(r.trial for r in ledger.select("trial").distinct().collect())
+    points = ledger.sparkSession.createDataFrame([(n, [k]) for k, n in enumerate(names)], "trial string, place array<int>")
+    plain = {r.split: r.trial for r in evaluation.splits_of(ledger, 4).collect()}
+    smooth = {r.split: r.trial for r in evaluation.splits_of(ledger, 4, points, 1).collect()}
+    assert set(plain) == set(smooth) and evaluation.overfitting(ledger, 4, points, 1).first().n_splits == len(smooth)
+    with pytest.raises(ValueError, match="16"):
+        evaluation.splits_of(ledger, 18)
