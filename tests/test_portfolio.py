@@ -11,10 +11,10 @@ def book(spark, rows, **more):
     return {r.symbol: r.weight for r in portfolio.capped_weights(df, "x", **more).collect()}
 
 
-@pytest.mark.parametrize("cap", [0.1, 0.2, 0.35, 1.0])
+@pytest.mark.parametrize("cap", [0.1, 0.35])
 def test_weights_meet_cap_gross_and_neutrality(spark, cap):
     rng = np.random.default_rng(int(cap * 100))
-    for n in (5, 8, 30):
+    for n in (5, 30):
         scores = rng.standard_t(2, n)
         found = book(spark, scores.tolist(), cap=cap)
         w = np.array([found[f"S{k}"] for k in range(n)])
@@ -86,7 +86,7 @@ def test_effective_trials(spark):
     corr = np.nan_to_num(np.corrcoef(returns[:-1]))
     lam = np.linalg.eigvalsh(corr)
     want = lam.sum() ** 2 / (lam**2).sum()
-    for block, chunk in ((256, 512), (3, 7), (1, 50)):
+    for block, chunk in ((256, 512), (3, 7)):
         got = evaluation.effective_trials(ledger(spark, returns), block, chunk).first()
         assert got.n_trials == 10 and got.effective == pytest.approx(want)
     one = evaluation.effective_trials(ledger(spark, np.repeat(own[:1], 5, 0))).first()
