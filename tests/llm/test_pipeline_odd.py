@@ -11,8 +11,10 @@ ROWS = [(k, t, None if k % 3 else "en", None if k % 2 else "s", None, "clash", 7
 ROWS += [ROWS[4], ROWS[4], (None, "text of no id at all", None, None, 5, None, None), (None, None, None, None, None, None, None)]
 
 
-@pytest.mark.parametrize("rows", [ROWS, []], ids=["odd", "empty"])
-@pytest.mark.parametrize("labels", [[(3, 1), (5, 0), (7, 1), (None, 1), (4, None)], []], ids=["labels", "no_labels"])
+LABELS = [(3, 1), (5, 0), (7, 1), (None, 1), (4, None)]
+
+
+@pytest.mark.parametrize(("rows", "labels"), [(ROWS, LABELS), (ROWS, []), ([], LABELS)], ids=["odd", "odd_without_labels", "empty"])
 def test_stages_take_odd_tables(spark, tmp_path, rows, labels):
     folder = str(tmp_path)
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{folder}/documents.parquet")
