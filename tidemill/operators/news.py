@@ -41,15 +41,31 @@ BEARISH = (
 TENDENCY = {0: 0.0, 1: 0.5, 2: -0.5}
 
 
-def has_term(text: Column, term: str) -> Column:
-    """True if a lower-case text has a term: one in ASCII where no letter or digit of ASCII stands before it, others anywhere."""
-    return text.rlike("(?<![a-z0-9])" + re.escape(term)) if term.isascii() else text.contains(term)
+def _apart(terms: Sequence[str]) -> list[list[str]]:
+    """Terms in groups of which none begins with another, so that one pattern finds all of a group."""
+    groups: list[list[str]] = []
+    for term in terms:
+        free = (g for g in groups if not any(x.startswith(term) or term.startswith(x) for x in g))
+        group = next(free, None)
+        if group is None:
+            groups.append([term])
+        else:
+            group.append(term)
+    return groups
 
 
 def found_terms(text: Column, terms: Sequence[str]) -> Column:
-    """Those of the terms that a text has, in their order; none for null."""
+    """Those of the terms that a text has, in their order; none for null.
+
+    A term in ASCII counts where no letter or digit of ASCII stands before it, others anywhere. One pass over the text finds
+    all terms that may stand at one place; matches may overlap.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(has_term(low, t), F.lit(t)) for t in terms]))
+    ascii_, other = [t for t in terms if t.isascii()], [t for t in terms if not t.isascii()]
+    patterns = [f"(?<![a-z0-9])(?=({'|'.join(map(re.escape, g))}))" for g in _apart(ascii_)] + [f"(?=({'|'.join(map(re.escape, g))}))" for g in _apart(other)]
+    seen = F.concat(F.array().cast("array<string>"), *[F.regexp_extract_all(low, F.lit(p), 1) for p in patterns])
+    each = F.array(*[F.lit(t) for t in terms])
+    return F.element_at(F.transform(F.array(F.array_distinct(seen)), lambda s: F.filter(each, lambda t: F.array_contains(s, t))), 1)  # found once
 
 
 def classified(events: DataFrame, text: str, kinds: Mapping[str, Sequence[str]] = EVENT_TERMS, half_life: Mapping[str, int] = HALF_LIFE) -> DataFrame:
@@ -69,10 +85,13 @@ def sentiment(events: DataFrame, text: str, kind: str = "event_type", tendency:
     The label stays neutral below `least` confidence. With `tendency`, sentiment_disagrees_with_publisher tells whether the tag points the other way.
     """
     low = F.col(text)
-    up, down = F.size(found_terms(low, BULLISH)), F.size(found_terms(low, BEARISH))
+    terms = found_terms(low, BULLISH + BEARISH)
     bias = F.coalesce(F.create_map(*[F.lit(x) for kv in BIAS.items() for x in kv])[F.col(kind)], F.lit(0.0))
     tag = F.create_map(*[F.lit(x) for kv in TENDENCY.items() for x in kv])[F.col(tendency).cast("int")] if tendency else F.lit(None).cast("double")
-    rows = events.withColumns({"_up": up, "_down": down, "_bias": bias, "_tag": tag}).withColumn("_n", F.col("_up") + F.col("_down"))
+    # one list of counts, made once for each row
+    counts = F.element_at(F.transform(F.array(terms), lambda s: F.array(F.size(F.filter(s, lambda t: t.isin(*BULLISH))), F.size(F.filter(s, lambda t: t.isin(*BEARISH))))), 1)
+    rows = events.withColumns({"_counts": counts, "_bias": bias, "_tag": tag})
+    rows = rows.withColumns({"_up": F.col("_counts")[0], "_down": F.col("_counts")[1]}).withColumn("_n", F.col("_up") + F.col("_down"))
     source = F.when(F.col("_n") > 0, "lexicon").when(F.col("_bias") != 0, "event_type").when(F.col("_tag").isNotNull(), "publisher").otherwise("none")
     by_terms = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 0.7 * (F.col("_up") - F.col("_down")) / F.col("_n") + 0.3 * F.col("_bias")))
     pick = lambda a, b, c, d: F.when(F.col("sentiment_source") == "lexicon", a).when(F.col("sentiment_source") == "event_type", b).when(F.col("sentiment_source") == "publisher", c).otherwise(d)
@@ -83,7 +102,7 @@ def sentiment(events: DataFrame, text: str, kind: str = "event_type", tendency:
     score = F.col("sentiment_score")
     label = F.when((F.col("sentiment_confidence") < least) | (score == 0), "neutral").when(score > 0, "bullish").otherwise("bearish")
     against = F.coalesce(F.signum("_tag") * F.signum(score) < 0, F.lit(False))
-    return rows.withColumns({"sentiment_label": label, "sentiment_disagrees_with_publisher": against}).drop("_up", "_down", "_bias", "_tag", "_n")
+    return rows.withColumns({"sentiment_label": label, "sentiment_disagrees_with_publisher": against}).drop("_counts", "_up", "_down", "_bias", "_tag", "_n")
 
 
 def news_metrics(events: DataFrame, as_of: Column | None = None, spans: Mapping[str, int] | None = None, by: str = "instrument_id", available: str = "available_time", least: float = 0.35, copies: bool = False) -> DataFrame:
