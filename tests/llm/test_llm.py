@@ -217,6 +217,32 @@ def test_column_sort():
         assert sorted(zip(*map(list, suffix_dedup.column_sort(strings, width)), strict=True)) == want
 
 
+def test_column_sort_in_wide_symbols():
+    """Strings of several windows take a round for each 50 bytes; with too many symbols for 16 bits they take narrower ones."""
+    random.seed(2)
+    parts = [bytes(random.choice(b"abcd") for _ in range(70)) for _ in range(6)]
+    strings = [b"".join(random.choice(parts) for _ in range(5))[random.randint(0, 9) :] for _ in range(30)]
+    table, *_, wide = suffix_dedup.symbol_table(strings, 100)
+    assert wide == 50 and len(table) <= 1 + 350 // 50
+    many = [bytes(random.choices(range(200), k=60)) for _ in range(7000)]
+    many += [random.randbytes(5) + m[:53] for m in many[::99]]
+    assert suffix_dedup.symbol_table(many, 50)[-1] == 2
+    for group, width in ((strings, 100), (many, 50)):
+        seen = Counter(s[i : i + width] for s in group for i in range(len(s) - width + 1))
+        want = sorted((k, i) for k, s in enumerate(group) for i in range(len(s) - width + 1) if seen[s[i : i + width]] > 1)
+        assert want and sorted(zip(*map(list, suffix_dedup.column_sort(group, width)), strict=True)) == want
+
+
+def test_units_cover_whole_windows_of_each_text():
+    random.seed(3)
+    texts = [bytes(random.choice(b"ab ") for _ in range(n)) for n in (20, 21, 57, 200, 20)]
+    data, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
+    _, seg, first, last = suffix_dedup.units(data, ends, 20, 6)
+    starts = [i for a, b in zip(first, last, strict=True) for i in range(a, b + 1)]
+    assert starts == [i for e, t in zip(ends, texts, strict=True) for i in range(e - len(t), e - 20 + 1)]
+    assert len(set(seg)) == len({data[a : b + 20].tobytes() for a, b in zip(first, last, strict=True)})
+
+
 @pytest.mark.parametrize("width,gram,most", [(400, 64, 4096), (100, 24, 2)])
 def test_suffix_dedup(docs, width, gram, most):
     keyed = with_row_key(docs.select("doc_id", "text"))
