@@ -56,3 +56,30 @@ def test_long_texts_are_taken_in_slices():
 def test_shares_are_exact():
     count, whole = np.array([0, 7, 123456789012345, 8_999_999_999_999_000]), 8_999_999_999_999_998
     assert divergence.shares(count, whole).tolist() == [1 + 10**9 * (int(c) + 2) // whole for c in count]
+
+
+def test_shares_in_spark_are_exact_on_both_sides_of_a_product_in_64_bits(spark):
+    whole = 8_999_999_999_999_998
+    counts = [0, 7, divergence.AT_ONCE - 1, divergence.AT_ONCE, 9_223_372_035, 123456789012345, 8_999_999_999_999_000]
+    got = spark.createDataFrame([(c, w) for c in counts for w in (whole, c + 5)], "c bigint, w bigint").select("c", "w", divergence.share(F.col("c"), F.col("w")).alias("p")).collect()
+    assert [r.p for r in got] == [1 + 10**9 * (r.c + 2) // r.w for r in got]
+
+
+def test_counts_leave_a_task_as_columns(spark):
+    """One row for each group and term, in Arrow's columns, whatever leaves a task early."""
+    times, holders = divergence.Counter([b"x", b"y", b"x"]), divergence.Counter([b"x", b"y"])
+    (batch,) = divergence.given({("en", "a"): (times, holders), ("en", ""): (divergence.Counter(), divergence.Counter())})
+    assert batch.to_pylist() == [{"lang": "en", "source": "a", "term": t, "n": n, "docs": 1} for t, n in ((b"x", 2), (b"y", 1))]
+    rows = [(k, f"Same word {k % 3} \u00c9t\u00e9" + " b" * k, "en", "a" if k % 2 else None) for k in range(9)]
+    got = {(r.source, r.term): (r.n, r.docs) for r in divergence.term_counts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("a", "same"): (4, 4), ("a", "word"): (4, 4), ("a", "\u00c9t\u00e9"): (4, 4), ("a", "b"): (16, 4), ("", "same"): (5, 5), ("", "word"): (5, 5), ("", "\u00c9t\u00e9"): (5, 5), ("", "b"): (20, 4)}
+
+
+def test_only_kept_terms_are_written(spark, monkeypatch):
+    """Rare terms are dropped before anything is written out."""
+    written = []
+    plain = divergence.cut
+    monkeypatch.setattr(divergence, "cut", lambda df: written.append(plain(df)) or written[-1])
+    rows = [(k, f"common rare{chr(97 + k)}", "en", "ab"[k % 2]) for k in range(12)]
+    assert by_spark(spark.createDataFrame(rows, SCHEMA)) == by_sql(rows)
+    assert {r.term for df in written if "term" in df.columns for r in df.collect()} == {"common"}

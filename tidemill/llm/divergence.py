@@ -5,9 +5,9 @@ every language gets smoothed shares of the kept terms in billionths; the diverge
 (p - q)^2 / (p + q), rounded down, over the terms. All arithmetic is on whole numbers.
 
 1. One pass counts terms: tasks keep counts by group and term and give them away when they are many, so
-   that a source with a third of all rows arrives at the shuffle as counts.
-2. Kept terms are dealt into chunks of about `CHUNK` and numbered in them; a group's counts in a chunk are
-   one packed vector.
+   that a source with a third of all rows arrives at the shuffle as counts. A term's counts meet once, to
+   tell whether enough documents hold it and to number it; only what is kept is written.
+2. Kept terms are dealt into chunks of about `CHUNK`; a group's counts in a chunk are one packed vector.
 3. Groups are dealt into blocks of about `BLOCK`; each vector goes to the tiles (block by block) of its
    block. A tile reads its chunks one after the other, in sorted order, and holds no more than one chunk
    and its own submatrix. Long vocabularies are parted into spans of `SPAN` chunks, whose submatrices are
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,13 @@ TOP_TERMS = 10
 CHUNK = 4096
 BLOCK = 64
 SPAN = 16
-#: Counts that a task holds before it gives them away; bytes of one text that become terms at once.
-HELD = 200_000
+#: Counts that a task holds before it gives them away, and bytes of text that it has read by then;
+#: bytes of one text that become terms at once.
+HELD, HELD_BYTES = 500_000, 1 << 27
 SLICE = 1 << 20
 UNIT = 1_000_000_000
+#: Below this a count and 2, times UNIT, is less than 2^63.
+AT_ONCE = 9_000_000_000
 
 #: Bytes of terms: letters (A-Z as a-z) and all bytes beyond ASCII; everything else parts them.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -59,34 +63,39 @@ def slices(data: bytes, most: int = SLICE) -> Iterator[bytes]:
         first = last
 
 
+def given(found: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group; its two counters hold the same terms in the same order."""
+    for (lang, source), (times, holders) in found.items():
+        if times:
+            counts = (pa.array(np.fromiter(c.values(), np.int64, len(times))) for c in (times, holders))
+            columns = [pa.repeat(lang, len(times)), pa.repeat(source, len(times)), pa.array(list(times), pa.binary()), *counts]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents of each term in each group."""
     chosen = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+    chosen = chosen.withColumn("text", F.col("text").cast("binary"))
 
-    def give(found: dict) -> Iterator[pd.DataFrame]:
-        for (lang, source), (times, holders) in found.items():
-            if times:
-                terms = list(times)
-                yield pd.DataFrame({"lang": lang, "source": source, "term": [t.decode("utf-8", "replace") for t in terms], "n": [times[t] for t in terms], "docs": [holders[t] for t in terms]})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found, held = {}, 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, size = {}, 0, 0
         for batch in batches:
-            for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
+            for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
                 times, holders = found.setdefault((lang, source), (Counter(), Counter()))
-                before, seen = len(times), set()
-                for part in slices(text.encode("utf-8", "replace").translate(TERM_BYTES)):
+                before, seen = len(times), {}
+                for part in slices(text.translate(TERM_BYTES)):
                     terms = part.split()
                     times.update(terms)
-                    seen.update(terms)
-                holders.update(seen)
+                    seen |= dict.fromkeys(terms)
+                holders.update(iter(seen))
                 held += len(times) - before
-                if held >= HELD:
-                    yield from give(found)
-                    found, held = {}, 0
-        yield from give(found)
+                size += len(text)
+                if held >= HELD or size >= HELD_BYTES:
+                    yield from given(found)
+                    found, held, size = {}, 0, 0
+        yield from given(found)
 
-    partial = chosen.mapInPandas(run, "lang string, source string, term string, n bigint, docs bigint")
+    partial = chosen.mapInArrow(run, "lang string, source string, term binary, n bigint, docs bigint").withColumn("term", F.col("term").cast("string"))
     return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -101,13 +110,14 @@ def gap(p: Column, q: Column) -> Column:
 
 
 def share(count: Column, whole: Column) -> Column:
-    """1 + floor(UNIT * (count + 2) / whole) by long division, exact for wholes below 9e15."""
+    """1 + floor(UNIT * (count + 2) / whole), by long division where the product needs it; exact for wholes below 9e15."""
+    at_once = whole_part((count + 2) * UNIT, whole)
     left, found = count + 2, F.lit(0).cast("bigint")
     for _ in range(3):
         left = left * 1000
         found = found * 1000 + whole_part(left, whole)
         left = left % whole
-    return found + 1
+    return F.when(count < AT_ONCE, at_once).otherwise(found) + 1
 
 
 def shares(count: np.ndarray, whole: np.ndarray | int) -> np.ndarray:
@@ -200,7 +210,7 @@ def pair_values(groups: DataFrame, held: DataFrame) -> DataFrame:
     vectors = held.groupBy("lang", "source", "chunk").agg(F.sort_array(F.collect_list(F.struct("place", "n"))).alias("cells"))
     vectors = vectors.select("lang", "source", "chunk", F.transform("cells", lambda x: x["place"]).alias("places"), F.transform("cells", lambda x: x["n"]).alias("counts"))
     vectors = vectors.join(small(groups.select("lang", "source", "total", "v", "block", "blocks")), ["lang", "source"]).withColumn("span", F.floor(F.col("chunk") / SPAN).cast("int"))
-    heads = groups.withColumn("span", F.explode(F.sequence(F.lit(0), F.col("spans") - 1))).withColumns({"chunk": F.lit(-1), "places": F.array().cast("array<int>"), "counts": F.array().cast("array<bigint>")})
+    heads = groups.withColumn("span", F.explode(F.sequence(F.lit(0), F.col("spans") - 1))).withColumns({"chunk": F.lit(-1), "places": F.array().cast("array<bigint>"), "counts": F.array().cast("array<bigint>")})
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     columns = ("lang", "first_block", "second_block", "span", "chunk", "block", "source", "total", "v", "places", "counts")
     rows = heads.unionByName(vectors, allowMissingColumns=True).withColumn("other", other)
@@ -219,14 +229,15 @@ def pair_values(groups: DataFrame, held: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_documents: int = LEAST_DOCUMENTS, top_terms: int = TOP_TERMS, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """(lang, source, part, item, value, rank): `pair` rows for the other sources of the language, `term` rows for
     the terms that a source has more of than its language."""
-    counts = cut(term_counts(docs, text_col, lang_col, source_col))
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least_documents).drop("docs")
-    kept = cut(kept)
-    langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
+    term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, text_col, lang_col, source_col)
+    known = counts.withColumns({"lang_n": F.sum("n").over(term), "holders": F.sum("docs").over(term)}).filter(F.col("holders") >= least_documents)
+    # a term is numbered by the least of its rows' numbers: its rows lie in one task, and the numbers are written out
+    known = known.drop("docs", "holders").withColumn("number", F.monotonically_increasing_id()).withColumn("place", F.min("number").over(term))
+    known = cut(known.withColumn("once", F.col("number") == F.col("place")).drop("number"))
+    langs = known.groupBy("lang").agg(F.count_if("once").alias("v"), F.sum("n").alias("lang_total"))
     langs = small(cut(langs.withColumn("chunks", F.ceil(F.col("v") / chunk))))
-    dealt = kept.join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
-    numbered = cut(dealt.withColumn("place", F.row_number().over(Window.partitionBy("lang", "chunk").orderBy("term")) - 1))
-    held = cut(counts.drop("docs").join(numbered, ["lang", "term"]))
+    held = known.drop("once").join(langs, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int"))
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]).distinct()
     totals = held.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = cut(groups.join(totals, ["lang", "source"], "left"))
