@@ -40,7 +40,7 @@ BLOCK = 64
 SPAN = 16
 #: Counts that a task holds before it gives them away, and bytes of text that it has read by then;
 #: bytes of one text that become terms at once.
-HELD, HELD_BYTES = 500_000, 1 << 27
+HELD, HELD_BYTES = 200_000, 1 << 27
 SLICE = 1 << 20
 UNIT = 1_000_000_000
 #: Below this a count and 2, times UNIT, is less than 2^63.
