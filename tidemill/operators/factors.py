@@ -2,8 +2,8 @@
 
 A formula is a tree of nodes. Window operators run either over one symbol in time or across the
 symbols of one instant; Spark cannot nest windows, so that every window node becomes a column, and
-nodes that can be computed together are added in one step (equal subtrees once). Steps alternate
-between the two partitionings only where the formulas do.
+nodes that can be computed together are added in one step (equal subtrees once). Phases alternate
+between the two partitionings only where the formulas do, all formulas together.
 """
 
 from __future__ import annotations
@@ -200,10 +200,14 @@ def product(x, d):
 
 
 def _listed(name: str, x, d: float, f: Callable[[Column, Column], Column]) -> Node:
-    """An operator on the array of a window's values."""
+    """An operator on the array of a window's values; the array itself goes no further."""
     n = whole(d)
-    values = along(f"list:{n}", [x], lambda v: full(F.collect_list(v).over(trailing(n)), v, n))
-    return Node(f"{name}:{n}", lambda a, v: F.when(a.isNotNull() & v.isNotNull(), f(a, v)), [values, node(x)])
+
+    def g(v: Column) -> Column:
+        values = full(F.collect_list(v).over(trailing(n)), v, n)
+        return F.when(values.isNotNull() & v.isNotNull(), f(values, v))
+
+    return along(f"{name}:{n}", [x], g)
 
 
 def ts_rank(x, d):
@@ -253,41 +257,74 @@ def decay_linear(x, d):
     return along(f"decay:{n}", [x], f)
 
 
+def _phases(nodes: list[Node], first: str) -> dict[str, tuple[int, int]]:
+    """(phase, level) of each node: phases take turns at the two partitionings, beginning with `first`; levels follow one another within a phase."""
+    kinds, at = (first, "instant" if first == "series" else "series"), {}
+    for n in nodes:
+        phase, level = max((at[x.key] for x in n.inputs), default=(0, 0))
+        if n.over is not None:
+            here = kinds[(phase + 1) % 2] == n.over if phase else False
+            level = level + 1 if here else 1
+            phase += 0 if here else 1 if kinds[phase % 2] == n.over else 2
+        at[n.key] = (phase, level)
+    return at
+
+
+def _below(factors: Iterable[Node]) -> list[Node]:
+    """All nodes of the trees, equal ones once, inputs first."""
+    found: dict[str, Node] = {}
+
+    def visit(n: Node) -> None:
+        if n.key not in found:
+            for x in n.inputs:
+                visit(x)
+            found[n.key] = n
+
+    for n in factors:
+        visit(n)
+    return list(found.values())
+
+
 def add_factors(df: DataFrame, factors: dict[str, Node]) -> DataFrame:
-    """Add one column for each factor."""
+    """Add one column for each factor.
+
+    All that one partitioning can give is computed before rows move to the other one. What moves is the values that
+    later phases or the factors ask for, not what these were made from.
+    """
+    nodes = _below(factors.values())
+    at = min((_phases(nodes, first) for first in ("series", "instant")), key=lambda x: max((p for p, _ in x.values()), default=0))
+    last = max((p for p, _ in at.values()), default=0)
+    needed: dict[str, int] = {}
+    for n in nodes:
+        for x in n.inputs:
+            needed[x.key] = max(needed.get(x.key, 0), at[n.key][0])
+    needed |= {n.key: last + 1 for n in factors.values()}
     names: dict[str, str] = {}
-    built: dict[str, tuple[Column, int]] = {}
-    steps: dict[tuple[int, str], dict[str, Column]] = {}
-
-    def build(n: Node) -> tuple[Column, int]:
-        """The node as an expression, and the number of the step after which it can be read."""
-        if n.key not in built:
-            inputs = [build(x) for x in n.inputs]
-            step = max((s for _, s in inputs), default=0)
-            if n.over is None:
-                built[n.key] = (n.build(*[v for v, _ in inputs]), step)
-            else:
-                own = []
-                for k, (v, _) in enumerate(inputs):  # a window reads plain columns
-                    name = names.setdefault(f"in:{n.inputs[k].key}", f"_f{len(names)}")
-                    steps.setdefault((step + 1, "input"), {})[name] = v
-                    own.append(F.col(name))
-                name = names.setdefault(n.key, f"_f{len(names)}")
-                steps.setdefault((step + 1, n.over), {})[name] = n.build(*own)
-                built[n.key] = (F.col(name), step + 1)
-        return built[n.key]
-
-    out = {name: build(n)[0] for name, n in factors.items()}
-    for (_, _), columns in sorted(steps.items(), key=lambda s: (s[0][0], s[0][1] != "input", s[0][1])):
-        df = df.withColumns(columns)
-    return df.withColumns(out).drop(*names.values())
+
+    def value(n: Node) -> Column:
+        return F.col(names[n.key]) if n.key in names else n.build(*[value(x) for x in n.inputs])
+
+    def named(wanted: Iterable[Node]) -> dict[str, Column]:
+        """Columns for nodes that have none yet; those without inputs are columns or numbers already."""
+        fresh = {n.key: value(n) for n in wanted if n.inputs and n.key not in names}
+        names.update({k: f"_f{len(names) + i}" for i, k in enumerate(fresh)})
+        return {names[k]: v for k, v in fresh.items()}
+
+    for phase in range(1, last + 1):
+        own = [n for n in nodes if n.over is not None and at[n.key][0] == phase]
+        df = df.repartition("symbol" if own[0].over == "series" else "ts")
+        for level in range(1, max(at[n.key][1] for n in own) + 1):
+            step = [n for n in own if at[n.key][1] == level]
+            df = df.withColumns(named(x for n in step for x in n.inputs)).withColumns(named(step))
+        df = df.withColumns(named(n for n in nodes if at[n.key][0] <= phase < needed[n.key]))
+    return df.withColumns({name: value(n) for name, n in factors.items()}).drop(*names.values())
 
 
 class PanelAlgebra:
-    """Inputs and operators of the published formulas as nodes over a panel with `_vwap` and `_ret`."""
+    """Inputs and operators of the published formulas as nodes over a panel."""
 
     open, high, low, close, volume = (column(x) for x in ("open", "high", "low", "close", "volume"))
-    vwap, returns = column("_vwap"), column("_ret")
+    vwap, returns = column("quote_volume") / column("volume"), column("close") / delay(column("close"), 1) - 1
     rank, scale, indneutralize, sign, log, abs = map(staticmethod, (rank, scale, indneutralize, sign, log, absolute))
     delay, delta, correlation, covariance, decay_linear = map(staticmethod, (delay, delta, correlation, covariance, decay_linear))
     ts_min, ts_max, ts_argmax, ts_argmin, ts_rank = map(staticmethod, (ts_min, ts_max, ts_argmax, ts_argmin, ts_rank))
@@ -306,9 +343,8 @@ class PanelAlgebra:
 def alphas(df: DataFrame, numbers: Iterable[int] | None = None) -> DataFrame:
     """The panel with columns a001, a002, ... of the chosen formulas."""
     built = formulas(PanelAlgebra)
-    df = df.withColumns({"_vwap": F.try_divide("quote_volume", "volume"), "_ret": F.try_divide(F.col("close"), F.lag("close").over(series())) - 1})
     chosen = sorted(built if numbers is None else numbers)
-    return add_factors(df, {f"a{n:03d}": built[n]() for n in chosen}).drop("_vwap", "_ret")
+    return add_factors(df, {f"a{n:03d}": built[n]() for n in chosen})
 
 
 # Cross-sectional preparation
