@@ -16,7 +16,7 @@ def moves(df, capsys):
 
 
 #: Exchanges of a query, that by cells included, and the most columns that one of them carries.
-MOST = [("alphas_decayed", 4, 16), ("alphas_deep", 6, 16)]
+MOST = [("alphas_decayed", 4, 16), ("alphas_deep", 6, 16), ("alphas_ranked", 4, 16)]
 
 
 @pytest.mark.parametrize("name,exchanges,columns", MOST, ids=[m[0] for m in MOST])
