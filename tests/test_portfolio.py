@@ -93,6 +93,35 @@ def test_effective_trials(spark):
     assert one.n_trials == 5 and one.effective == pytest.approx(1)
 
 
+def test_effective_trials_by_pairs_of_instants(spark):
+    """More trials than instants: missing returns, constants and trials so faint that only some correlations count; blocks of any size."""
+    rng = np.random.default_rng(8)
+    own = rng.normal(size=(40, 23)) * 0.02 + rng.normal(size=(1, 23)) * 0.01
+    own[3, 5:9] = own[4, ::2] = np.nan
+    own[:, 11] = np.nan  # an instant without a return
+    own[6], own[7] = own[5], 0.0
+    own[8], own[9] = own[0] * 3e-12, own[1] * 1e-7  # far from both borders
+    own[10] *= 1e4
+    dense = np.nan_to_num(own)
+    m = dense - dense.mean(1, keepdims=True)
+    d = np.sqrt((m * m).sum(1))
+    scale = np.outer(d, d)
+    corr = np.divide(m @ m.T, scale, out=np.zeros_like(scale), where=scale > 1e-14)
+    want = (d > 1e-14).sum() ** 2 / (corr**2).sum()
+    rows = [[None if np.isnan(v) else v for v in r] for r in own]
+    table = ledger(spark, rows).union(spark.sql("SELECT 'T0', timestamp_seconds(11 * 86400), CAST(NULL AS double)"))
+    for instants in (512, 7):
+        got = evaluation.effective_trials(table, 6, 5, instants).first()
+        assert got.n_trials == 40 and got.effective == pytest.approx(want)
+
+
+def test_trials_are_not_sent_once_for_each_block(spark):
+    """What leaves the trials is sums by instants, however many trials there are."""
+    returns = np.random.default_rng(9).normal(size=(70, 12))
+    one, many = (evaluation.effective_trials(ledger(spark, returns), block)._jdf.queryExecution().executedPlan().toString() for block in (256, 2))
+    assert "explode" not in many and one.count("Exchange") == many.count("Exchange")
+
+
 def lattice_scores(spark, grid):
     rows = [(a * 10 + b, [a, b], None if np.isnan(v) else float(v)) for (a, b), v in np.ndenumerate(grid)]
     df = spark.createDataFrame(rows, "trial int, place array<int>, score double")

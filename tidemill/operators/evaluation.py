@@ -308,23 +308,121 @@ def _squares_of_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield result()
 
 
-def effective_trials(ledger: DataFrame, block: int = TRIAL_BLOCK, chunk: int = CHUNK) -> DataFrame:
+#: Instants of a block, and rows of a strip, in the matrix of sums over trials. Trials whose norm is no larger than FAINT may correlate with some trials and not with others.
+INSTANT_BLOCK, STRIP, FAINT, NOTHING = 512, 64, 1e-7, 1e-14
+
+
+def _sums_over_trials(batches: Iterator[pd.DataFrame], block: int, total: int) -> Iterator[pd.DataFrame]:
+    """(first, second, strip, sums) of each tile of two blocks of instants: sums over the trials of a task; rows come sorted by tile."""
+    key, sums = None, None
+
+    def side(rows: pd.DataFrame, which: int) -> np.ndarray:
+        start = which * block
+        out = np.repeat(-(rows["mean"] / rows["norm"]).to_numpy()[:, None], min(block, total - start), axis=1)
+        for k, (at, values, norm) in enumerate(zip(rows["at"], rows["ret"], rows["norm"], strict=True)):
+            at = np.asarray(at) - start
+            here = (at >= 0) & (at < out.shape[1])
+            out[k, at[here]] += np.asarray(values)[here] / norm
+        return out
+
+    def strips() -> Iterator[pd.DataFrame]:
+        for k in range(0, len(sums), STRIP):
+            yield pd.DataFrame({"first": [key[0]], "second": [key[1]], "strip": [k // STRIP], "sums": [sums[k : k + STRIP].tobytes()]})
+
+    for batch in batches:
+        for own, rows in batch.groupby(["first", "second"], sort=True):
+            if own != key:
+                if key is not None:
+                    yield from strips()
+                key, sums = own, 0.0
+            for k in range(0, len(rows), 1024):
+                part = rows.iloc[k : k + 1024]
+                left = side(part, own[0])
+                sums = sums + left.T @ (left if own[0] == own[1] else side(part, own[1]))
+    if key is not None:
+        yield from strips()
+
+
+def _squares_of_strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Squares of the sums of each strip over all tasks; rows come sorted by strip."""
+    key, sums = None, None
+    square = lambda: pd.DataFrame({"squares": [float((sums * sums).sum()) * (1 if key[0] == key[1] else 2)]})
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            own = (row.first, row.second, row.strip)
+            if own != key:
+                if key is not None:
+                    yield square()
+                key, sums = own, 0.0
+            sums = sums + np.frombuffer(row.sums)
+    if key is not None:
+        yield square()
+
+
+def _squares_by_instants(trials: DataFrame, total: int, block: int) -> DataFrame:
+    """(squares) of the correlations of trials (trial, at, ret, mean, norm) that are not faint.
+
+    The squares of Z Z' and of Z' Z have the same sum, so that pairs of instants do for pairs of trials.
+    """
+    blocks = -(-total // block)
+    rows = trials.select("at", "ret", "mean", "norm")
+    if blocks == 1:
+        rows = rows.withColumns({"first": F.lit(0), "second": F.lit(0)})
+    else:
+        pairs = F.array(*[F.struct(F.lit(i).alias("first"), F.lit(j).alias("second")) for i in range(blocks) for j in range(i, blocks)])
+        # a trial goes to each tile with its returns there; a tile is dealt out to several tasks
+        both = F.arrays_zip("at", "ret")
+        rows = trials.select(F.explode(pairs).alias("p"), both.alias("v"), "mean", "norm", F.pmod(F.xxhash64("trial"), F.lit(64)).alias("slice"))
+        here = F.filter("v", lambda x: F.floor(x["at"] / block).isin(F.col("p.first"), F.col("p.second")))
+        rows = rows.select("p.first", "p.second", "slice", here.alias("v"), "mean", "norm").repartition("first", "second", "slice").sortWithinPartitions("first", "second")
+        rows = rows.select("first", "second", F.col("v.at").alias("at"), F.col("v.ret").alias("ret"), "mean", "norm")
+    strips = rows.mapInPandas(lambda x: _sums_over_trials(x, block, total), "first int, second int, strip int, sums binary")
+    return strips.repartition("first", "second", "strip").sortWithinPartitions("first", "second", "strip").mapInPandas(_squares_of_strips, "squares double")
+
+
+def _tiles(vectors: DataFrame, total: int) -> DataFrame:
+    """(trace, squares) of tiles of two blocks, from vectors (trial, chunk, at, ret, block, other)."""
+    tiles = vectors.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other"), "total": F.lit(total)}).drop("other")
+    return tiles.repartition("first", "second").sortWithinPartitions("first", "second", "chunk", "trial").mapInPandas(_squares_of_tiles, "trace double, squares double")
+
+
+def effective_trials(ledger: DataFrame, block: int = TRIAL_BLOCK, chunk: int = CHUNK, instants: int = INSTANT_BLOCK) -> DataFrame:
     """One row: the number of trials and how many independent bets they hold, by the participation ratio of their correlations.
 
     (sum of eigenvalues)^2 / (sum of their squares) is trace^2 over the sum of squared correlations, so that no
-    eigenvalues are needed. Trials are dealt into blocks; each tile of two blocks takes up the returns of
+    eigenvalues are needed. Where trials are more than instants, sums over trials for pairs of instants give the
+    squares. Else trials are dealt into blocks; each tile of two blocks takes up the returns of
     successive chunks of time and gives two numbers. A return that is missing counts as 0; trials without any
     return are left out, those without spread correlate with none.
     """
-    known = ledger.filter("ret is not null")
-    total = ledger.select("ts").distinct().count()
-    trials = known.select("trial").distinct()
-    n = trials.count()
+    known = ledger.filter("ret is not null and ts is not null").withColumn("ret", F.col("ret").cast("double"))
+    times = ledger.select("ts").filter("ts is not null").distinct()
+    total = times.count()
+    s, q = F.sum("ret"), F.sum(F.col("ret") * F.col("ret"))
+    norms = known.groupBy("trial").agg(F.sqrt(F.greatest(F.lit(0.0), q - s * s / total)).alias("norm"))
+    n, trace, faint = norms.agg(F.count("*"), F.count_if(F.col("norm") > NOTHING), F.count_if((F.col("norm") > 0) & (F.col("norm") <= FAINT))).first()
     if n <= 1:
-        return trials.agg(F.count("*").alias("n_trials"), F.count("*").cast("double").alias("effective"))
+        return norms.agg(F.count("*").alias("n_trials"), F.count("*").cast("double").alias("effective"))
     chunks, blocks = max(1, -(-total // chunk)), max(1, -(-n // block))
-    vectors = known.withColumn("chunk", F.pmod(F.xxhash64("ts"), F.lit(chunks)).cast("int")).groupBy("trial", "chunk").agg(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("ret").cast("double").alias("r"))).alias("v"))
-    vectors = vectors.select("trial", "chunk", F.col("v.t").alias("at"), F.col("v.r").alias("ret"), F.pmod(F.xxhash64("trial"), F.lit(blocks)).cast("int").alias("block"))
-    tiles = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other"), "total": F.lit(total)})
-    parts = tiles.drop("other").repartition("first", "second").sortWithinPartitions("first", "second", "chunk", "trial").mapInPandas(_squares_of_tiles, "trace double, squares double")
-    return parts.agg(F.lit(n).cast("bigint").alias("n_trials"), F.coalesce(F.try_divide(F.sum("trace") * F.sum("trace"), F.sum("squares")), F.lit(1.0)).alias("effective"))
+
+    def vectors(rows: DataFrame) -> DataFrame:
+        got = rows.withColumn("chunk", F.pmod(F.xxhash64("ts"), F.lit(chunks)).cast("int")).groupBy("trial", "chunk").agg(F.collect_list(F.struct(F.unix_micros("ts").alias("t"), F.col("ret").alias("r"))).alias("v"))
+        return got.select("trial", "chunk", F.col("v.t").alias("at"), F.col("v.r").alias("ret"), F.pmod(F.xxhash64("trial"), F.lit(blocks)).cast("int").alias("block"))
+
+    if n <= total:
+        parts = _tiles(vectors(known).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), total)
+    else:
+        numbered = times.withColumn("at", F.row_number().over(Window.orderBy("ts")) - 1)  # one row per instant, fewer than trials
+        own = known.join(numbered, "ts").groupBy("trial").agg(F.collect_list(F.struct("at", "ret")).alias("v"), (s / total).alias("mean"), F.sqrt(F.greatest(F.lit(0.0), q - s * s / total)).alias("norm"))
+        own = own.filter(F.col("norm") > FAINT).select("trial", F.col("v.at").alias("at"), F.col("v.ret").alias("ret"), "mean", "norm")
+        parts = _squares_by_instants(own, total, instants).select(F.lit(0.0).alias("trace"), "squares")
+        if faint:  # two faint trials never correlate; one with another as far as the product of their norms goes
+            rows = vectors(known.join(norms.filter("norm > 0"), "trial").withColumn("trial", F.struct((F.col("norm") <= FAINT).alias("faint"), "trial")))
+            more = -(-faint // block)
+            deal = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+            is_faint = F.col("trial.faint")
+            rows = rows.withColumn("block", F.when(is_faint, F.lit(blocks) + F.pmod(F.xxhash64("trial"), F.lit(more))).otherwise(F.col("block")).cast("int"))
+            rows = rows.withColumn("other", F.explode(F.when(is_faint, deal(blocks)).otherwise(F.transform(deal(more), lambda k: k + blocks)))).withColumn("trial", F.col("trial.trial").cast("string"))
+            parts = parts.unionByName(_tiles(rows, total))
+    sums = parts.agg((F.coalesce(F.sum("trace"), F.lit(0.0)) if n <= total else F.lit(float(trace))).alias("trace"), F.sum("squares").alias("squares"))
+    return sums.select(F.lit(n).cast("bigint").alias("n_trials"), F.coalesce(F.try_divide(F.col("trace") * F.col("trace"), "squares"), F.lit(1.0)).alias("effective"))
