@@ -38,3 +38,32 @@ def test_streams_of_whole_bars_and_forced_orders(spark, small_dir, tmp_path):
     assert bars_of and all(r.trades >= 3 for r in bars_of)
     forced = ran("forced", lambda s: windows.stream_forced_orders(s, "1 day"))
     assert forced and all(-1 <= r.imbalance <= 1 and r.long_usd >= 0 for r in forced)
+
+
+def test_universe_adds_in_the_order_of_the_table(spark, tmp_path):
+    """Means on a bound don't hang on how rows were dealt to files and tasks: as SQL gives on one thread."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from tidemill.plans import relational_queries as R
+
+    rng, lines = random.Random(4), []
+    for part in range(300):
+        half = [rng.randint(0, 10) for _ in range(8)]
+        lines += [(part, d / 100, 1000.0 + d) for d in half + [10 - d for d in half]]  # 5 % on the mean
+    rng.shuffle(lines)
+    (tmp_path / "lineitem.parquet").mkdir()
+    rows = pd.DataFrame(lines, columns=["l_partkey", "l_discount", "l_extendedprice"])
+    for k in range(5):  # the larger files come last
+        rows.iloc[k * k * 192 : (k + 1) ** 2 * 192].to_parquet(tmp_path / "lineitem.parquet" / f"part-{k}.parquet")
+    pd.DataFrame([(k, "b", "t", 1500.5, 30) for k in range(300)], columns=["p_partkey", "p_brand", "p_type", "p_retailprice", "p_size"]).to_parquet(tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.execute("SET threads=1")
+    for name, path in (("part", "part.parquet"), ("lineitem", "lineitem.parquet/*.parquet")):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{path}')")
+    for name in ("universe_scores", "universe_select"):
+        got, want = R.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(R.SQL[name]).df()
+        assert got.sort_values("symbol").to_dict("list") == want.sort_values("symbol")[list(got.columns)].to_dict("list")
+        assert name == "universe_select" or got["score"].nunique() == 2
