@@ -88,6 +88,28 @@ def test_indicators_keep_their_past(spark, small_dir):
         probe.prefix_invariance(df.limit(0), plan, columns)
 
 
+def test_cuts_leave_no_shuffles_and_take_turns(spark, small_dir):
+    """However many cuts run at once, the same is found, and no shuffle outlives its turn."""
+    import os
+
+    def held():
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(spark.conf.get("spark.local.dir")) for f in names if f.startswith("shuffle_") and f.endswith(".data"))
+
+    df = bars(spark, small_dir, "4h").select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close").localCheckpoint()
+    plan = lambda d: d.withColumns({"ahead": F.lead("close", 3).over(windows.series()), "mean": windows.mean("close", 5)})
+    cuts, runs, left, before = probe.cut_points(df), [], [], held()
+
+    def noted(d):
+        left.append(held() - before)
+        runs.append(d)
+        return plan(d)
+
+    one, two, all_ = (sorted(map(tuple, probe.prefix_invariance(df, noted, ["ahead", "mean"], cuts, at_once=n).collect()), key=str) for n in (1, 2, len(cuts)))
+    assert one == two == all_ and [r[4] for r in one] == [False, True] and one[0][3] == cuts[0]
+    assert len(runs) == len(cuts) + -(-len(cuts) // 2) + 1 and max(left) <= 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_unlike_choice_equals_the_greedy_loop(spark):
     rng = random.Random(5)
     for most in (0.3, 0.6, 0.9):
